@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import chat, mixing, quality, url_filter
+from korpusmill.llm import chat, langid, matroska, mixing, quality, url_filter
 from korpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ URL_RULES = [
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs)
+    marked = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.identify(marked, net, ["doc_id", "held_out"])
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -42,7 +49,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op3_quality_rules, op4_source_mix, op6_chat_format)}
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.text_media(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_source_mix, op6_chat_format, op8_matroska)}
 
 ORACLES: dict[str, str] = {}
 
