@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from korpusmill.llm.arrow import slices, utf8
 
-SAMPLE_PER_LANG, MAX_LANGS, SLICE = 500, 200, 768
+SAMPLE_PER_LANG, MAX_LANGS, SLICE = 800, 200, 768
 WINDOW = 256
 WIDTHS, PER_WIDTH, DIM = (2, 3, 4, 5), 8, 8
 UNKNOWN = "und"
@@ -80,7 +80,7 @@ class ByteConvNet:
         emb[0] = 0
         return {"emb": emb, "conv": np.einsum("nfk,nf->kf", seen, g) * self.mask, "bias": g.sum(0), "out": a.T @ d, "out_bias": d.sum(0)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteConvNet:
         """Adam; languages are drawn evenly."""
         r = np.random.default_rng(seed)
         by = [np.flatnonzero(y == k) for k in range(len(self.langs))]
