@@ -34,7 +34,8 @@ END_ID = 0
 #: Shares of the capacity from which on a length counts as large, and numbers of groups; the plan with the fewest sequences is taken.
 LARGE = (0.25, 0.35, 0.45)
 GROUPS = (64, 128)
-ROWS_PER_BUCKET = 20_000
+#: Rows of one length that are ranked together, about.
+ROWS_PER_BUCKET = 1_000
 
 
 # ---- tokens ----
@@ -286,9 +287,9 @@ def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 # ---- placing ----
 
 
-def place(pieces: DataFrame, plan: Plan, total: int) -> DataFrame:
-    """The pieces with sequence_id and offset."""
-    buckets = max(1, total // ROWS_PER_BUCKET)
+def place(pieces: DataFrame, plan: Plan, most: int) -> DataFrame:
+    """The pieces with sequence_id and offset; the most frequent length has most pieces."""
+    buckets = most // ROWS_PER_BUCKET + 1
     cell = ["length", "_bucket"]
     p = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = p.groupBy(*cell).agg(F.count("*").alias("_n"))
@@ -310,4 +311,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     pieces = stored(token_pieces(docs, vocabulary, capacity))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    return place(pieces, best_plan(counts, capacity), sum(counts.values()))
+    return place(pieces, best_plan(counts, capacity), max(counts.values(), default=0))
