@@ -55,3 +55,10 @@ def shift_right(x: Column, n: Column) -> Column:
 def values(spark: SparkSession, name: str, items: list[str]) -> DataFrame:
     """A table of one string column from a short list, without Python on the executors."""
     return spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in items]) if items else F.lit([]).cast("array<string>")).alias(name))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

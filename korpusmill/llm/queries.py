@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import chat, gru_lm, langid, matroska, mixing, packing, quality, url_filter
+from korpusmill.llm import chat, gru_lm, jaccard, langid, matroska, mixing, packing, quality, url_filter
 from korpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_report(table(spark, sf_dir, "documents"))
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_source_mix, op6_chat_format, op8_matroska, op9_best_fit_packing, op10_gru_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_source_mix, op6_chat_format, op7_jaccard_join, op8_matroska, op9_best_fit_packing, op10_gru_scores)}
 
 ORACLES: dict[str, str] = {}
 
