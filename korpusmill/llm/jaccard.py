@@ -39,7 +39,7 @@ SMALL = 32
 BLOCK = 2000
 #: Shingles that go last in the order, at most (400 KB for each worker).
 HOT = 50_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of one long up to which a list of rows is broadcast (32 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
