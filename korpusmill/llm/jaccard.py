@@ -4,8 +4,8 @@
 2. Two sets that link share a shingle among the first quarter (plus one) of each, in any one order of all shingles. The order puts the shingles that
    many documents share last (counted over all documents, per batch; it decides speed, not results), then goes by hash. A tile is the classes that share such a shingle, in
    order of their size; only sizes within 0.75 of one another meet.
-3. A tile of up to ``SMALL`` classes gives all its pairs. A larger one gives pairs with the smallest class of each size band first, and
-   after these are joined up, its pairs between different components, block by block.
+3. A tile of up to ``SMALL`` classes gives all its pairs. A larger one gives the pairs of ``HUBS`` classes with all others of their size
+   band first, and after these are joined up, its pairs between different components, block by block.
 4. Every pair is bounded from above by hashed bitmaps: a bit set on one side only is a shingle the other lacks. Pairs within the bound are decided by exact
    intersection of the sorted arrays.
 5. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
@@ -36,6 +36,8 @@ from korpusmill.llm.shingles import shingle_sets
 #: Similarity in hundredths.
 ALIKE = 75
 SMALL = 32
+#: Classes of a larger tile's size band that are compared with all others of the band before anything else.
+HUBS = 8
 BLOCK = 2000
 #: Shingles that go last in the order, at most (400 KB for each worker).
 HOT = 50_000
@@ -50,8 +52,8 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """2 to 4 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
-    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 1 - 6)
+    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
+    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 2 - 6)
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -227,8 +229,10 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 end = hub + size[i]
                 while hub < end:
                     stop = hub + int(np.searchsorted(ALIKE * n[hub:end], 100 * n[hub], "right"))
-                    left.append(np.full(stop - hub - 1, cls[hub]))
-                    right.append(cls[hub + 1 : stop])
+                    band = cls[hub:stop]
+                    for x in np.sort(band)[:HUBS]:  # the same classes in all tiles that these members share
+                        left.append(np.full(len(band) - 1, x))
+                        right.append(band[band != x])
                     hub = stop
             a, b = distinct_pairs(left, right)
             members = np.flatnonzero(big)
