@@ -1,4 +1,4 @@
-"""Connected components of a link table, by minimum labels and pointer jumping, on DataFrames only."""
+"""Connected components of a link table by repeated contraction, on DataFrames only."""
 
 from __future__ import annotations
 
@@ -11,16 +11,21 @@ from korpusmill.llm.common import stored
 def connected(links: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) of every node of links (a, b). Self-links and repeated links don't matter.
 
-    Each round takes the least label among the neighbours and then the label's label, so the rounds grow with the logarithm of a
-    component's width. Every round is written to the shared folder, so lineage stays short and lost executors cost a round at most.
+    Each round sends a node to its least neighbour (or itself) and moves the links' ends along; links inside one node vanish, so the table
+    shrinks fast, stars in one round. Every round is written to the shared folder: lineage stays short, a lost executor costs a round at most.
     """
-    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct())
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        least = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = stored(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"))
-        if moved.where("label <> old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = None
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("least")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("least")))
+        sent = stored(ends.groupBy("node").agg(F.min("least").alias("to")))
+        if labels is None:
+            labels = sent.select("node", F.col("to").alias("label"))
+        else:
+            labels = stored(labels.join(sent.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        at = lambda c: sent.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+        moved = edges.join(at("a"), "a").join(at("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        edges = stored(moved.where("a < b").distinct())
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels

@@ -4,8 +4,8 @@
 2. Two sets that link share a shingle among the first quarter (plus one) of each, in any one order of all shingles. The order puts the shingles that
    many documents share last (counted over all documents, per batch; it decides speed, not results), then goes by hash. A tile is the classes that share such a shingle, in
    order of their size; only sizes within 0.75 of one another meet.
-3. A tile of up to ``SMALL`` classes gives all its pairs. A larger one gives the pairs of ``HUBS`` classes with all others of their size
-   band first, and after these are joined up, its pairs between different components, block by block.
+3. A tile of up to ``SMALL`` classes gives all its pairs. A larger one gives the pairs of a few classes (hubs) with all others of their size
+   band first; then those of more hubs with classes of other components; and at last all pairs between different components, block by block.
 4. Every pair is bounded from above by hashed bitmaps: a bit set on one side only is a shingle the other lacks. Pairs within the bound are decided by exact
    intersection of the sorted arrays.
 5. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
@@ -28,20 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.llm.arrow import slices, utf8
-from korpusmill.llm.common import free_name, stored
+from korpusmill.llm.common import batches_of, free_name, stored
 from korpusmill.llm.components import connected
 from korpusmill.llm.hashing import Powers
 from korpusmill.llm.shingles import shingle_sets
 
 #: Similarity in hundredths.
 ALIKE = 75
-SMALL = 32
-#: Classes of a larger tile's size band that are compared with all others of the band before anything else.
-HUBS = 8
+SMALL = 16
+#: Classes of a larger tile's size band that are compared with all others of the band before anything else; then so many times the logarithm
+#: of the band's size, with those that aren't joined up yet.
+FIRST_HUBS, HUBS = 3, 4
 BLOCK = 2000
 #: Shingles that go last in the order, at most (400 KB for each worker).
 HOT = 50_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES, ARROW_BATCH = 2 << 20, "8m"
 #: Rows of one long up to which a list of rows is broadcast (32 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
@@ -52,8 +53,8 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
-    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 2 - 6)
+    """2 to 4 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
+    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 1 - 6)
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -202,8 +203,16 @@ def distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray
     return low[new], high[new]
 
 
+def bands(n: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the ascending sizes n[begin:end] within 0.75 of their first."""
+    while begin < end:
+        stop = begin + int(np.searchsorted(ALIKE * n[begin:end], 100 * n[begin], "right"))
+        yield begin, stop
+        begin = stop
+
+
 def tile_pairs(rows: DataFrame) -> DataFrame:
-    """a, b (key null): candidate pairs; and key, a (b null): members of the tiles whose pairs aren't all among them."""
+    """a, b (key null): candidate pairs; and key, a, n (b null): members of the tiles whose pairs aren't all among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key"]):
@@ -225,40 +234,66 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 left.append(c[fit])
                 right.append(c[fit + d])
             for i in np.flatnonzero(size > SMALL):
-                hub = begin[i]
-                end = hub + size[i]
-                while hub < end:
-                    stop = hub + int(np.searchsorted(ALIKE * n[hub:end], 100 * n[hub], "right"))
-                    band = cls[hub:stop]
-                    for x in np.sort(band)[:HUBS]:  # the same classes in all tiles that these members share
-                        left.append(np.full(len(band) - 1, x))
-                        right.append(band[band != x])
-                    hub = stop
+                for x, y in bands(n, begin[i], begin[i] + size[i]):
+                    band = cls[x:y]
+                    for hub in np.sort(band)[:FIRST_HUBS]:  # the same classes in all tiles that these members share
+                        left.append(np.full(len(band) - 1, hub))
+                        right.append(band[band != hub])
             a, b = distinct_pairs(left, right)
             members = np.flatnonzero(big)
             none = lambda q: pa.nulls(q, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(len(a)), pa.array(key[members])]), pa.concat_arrays([pa.array(a), pa.array(cls[members])]), pa.concat_arrays([pa.array(b), none(len(members))])], names=["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(len(a)), pa.array(key[members])]), pa.concat_arrays([pa.array(a), pa.array(cls[members])]), pa.concat_arrays([pa.array(b), none(len(members))]), pa.concat_arrays([none(len(a)), pa.array(n[members])])], names=["key", "a", "b", "n"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "key bigint, a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """a, b: pairs of hubs with classes of other components, in each size band of the tiles (key, class, n, label). Each class
+    is in its first tile only; what that leaves out is left to block_pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key"]):
+            key, cls, label = (t.column(c).to_numpy() for c in ("key", "class", "label"))
+            n = t.column("n").to_numpy().astype(np.int64)
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for x, y in bands(n, i, j):
+                    if (label[x:y] == label[x]).all():
+                        continue
+                    for h in x + np.argsort(cls[x:y])[: HUBS * (y - x).bit_length()]:
+                        others = cls[x:y][label[x:y] != label[h]]
+                        left.append(np.full(len(others), cls[h]))
+                        right.append(others)
+            a, b = distinct_pairs(left, right)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    first = members.groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("label").alias("label"))
+    return first.select("key", "class", "n", "label").repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "a bigint, b bigint")
 
 
 def block_pairs(members: DataFrame) -> DataFrame:
     """a, b: pairs of different components within the bitmap bound, of tiles (key, class, n, bits, label).
 
-    A tile goes in blocks of about BLOCK members; each two blocks meet in a task of their own.
+    A tile goes in blocks of about BLOCK members; each two blocks meet in a task of their own. A pair comes from the first
+    tile that it shares, not from all.
     """
-    count = members.groupBy("key").agg(F.count("*").alias("_count"), F.count_distinct("label").alias("_labels")).where("_labels > 1")
+    count = members.groupBy("key").agg(F.count("*").alias("_count"))
     blocks = F.ceil(F.col("_count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
     dealt = members.join(count, "key").withColumn("_blocks", blocks).withColumn("own", own)
+    dealt = dealt.join(dealt.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys")), "class")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", F.col("n").cast("bigint").alias("n"), "bits", "label")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", F.col("n").cast("bigint").alias("n"), "bits", "label", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
             key, i, j, own, cls, n, label = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "class", "n", "label"))
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
             data, offsets = utf8(t.column("bits"))
+            lists = t.column("keys").combine_chunks()
+            every, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            earlier = lambda r: (v := every[cuts[r] : cuts[r + 1]])[: np.searchsorted(v, key[r])]  # noqa: B023,E731
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 words = (np.diff(offsets[x : y + 1]) // 8).astype(int)
@@ -276,8 +311,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
                         if len(at):
                             least = min(w, mine.shape[1])
                             fit = at[within_bound(np.full(len(at), n[r]), n[rows[at]], np.broadcast_to(fold(mine, least), (len(at), least)), fold(mats[w][at], least))]
+                            before = earlier(r)
+                            fit = [k for k in rows[fit].tolist() if not np.isin(before, earlier(k)).any()]
                             left.append(np.full(len(fit), cls[r]))
-                            right.append(cls[rows[fit]])
+                            right.append(cls[fit])
             a, b = distinct_pairs(left, right)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -333,23 +370,31 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stored(classes.join(ends, "class", "left_semi").select("row"))
     sets = stored(rows_in(keyed(docs), rows).select("text").mapInArrow(arrays, "class bigint, shingles binary"))
     side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, class and component (the smallest class linked; null without shingles) of each document, stored."""
+    with batches_of(docs.sparkSession, ARROW_BATCH):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     described, shared = describe(docs)
     classes = stored(described.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")))
     tiles = stored(tile_pairs(prefixes(docs, hot_shingles(shared))))
     pairs = stored(bounded(tiles.where("b is not null").select("a", "b").distinct(), classes))
-    found = stored(links(docs, pairs, classes))
-    labels = connected(found)
-    members = tiles.where("b is null").select("key", F.col("a").alias("class"))
-    if not members.isEmpty():
-        members = members.join(classes, "class").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        more = stored(block_pairs(members).distinct().join(pairs, ["a", "b"], "left_anti"))
-        found = found.union(links(docs, more, classes))
-        labels = connected(found)
+    labels = connected(links(docs, pairs, classes))
+    members = tiles.where("b is null").select("key", F.col("a").alias("class"), "n")
+    for further in (hub_pairs, block_pairs) if not members.isEmpty() else ():
+        marked = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        open_tiles = marked.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
+        marked = stored(marked.join(open_tiles, "key", "left_semi"))
+        if further is block_pairs:
+            marked = marked.join(classes.select("class", "bits"), "class")
+        more = stored(bounded(further(marked).distinct().join(pairs, ["a", "b"], "left_anti"), classes))
+        pairs = pairs.union(more)
+        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links(docs, more, classes)))
     named = described.join(labels.withColumnRenamed("node", "class"), "class", "left")
     return stored(named.select("row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("label", "class").alias("component")))
 
