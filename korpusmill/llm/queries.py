@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import chat, gru_lm, jaccard, langid, matroska, mixing, packing, quality, url_filter
+from korpusmill.llm import chat, gru_lm, jaccard, langid, matroska, mixing, packing, quality, suffix_dedup, url_filter
 from korpusmill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant")))).select("conv_id", F.col("pos").cast("bigint").alias("turn"), F.col("col").alias("role"), F.lit(PROBE).alias("text"))
@@ -65,7 +69,7 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_source_mix, op6_chat_format, op7_jaccard_join, op8_matroska, op9_best_fit_packing, op10_gru_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_source_mix, op5_suffix_dedup, op6_chat_format, op7_jaccard_join, op8_matroska, op9_best_fit_packing, op10_gru_scores)}
 
 ORACLES: dict[str, str] = {}
 
