@@ -35,10 +35,10 @@ from korpusmill.llm.shingles import shingle_sets
 
 #: Similarity in hundredths.
 ALIKE = 75
-SMALL = 16
-#: Classes of a larger tile's size band that are compared with all others of the band before anything else; then so many times the logarithm
-#: of the band's size, with those that aren't joined up yet.
-FIRST_HUBS, HUBS = 3, 4
+SMALL = 32
+#: Classes of a larger tile's size band that are compared with all others of the band before anything else; and the numbers that are compared with
+#: those that aren't joined up yet, round by round.
+FIRST_HUBS, HUBS = 1, (4, 16)
 BLOCK = 2000
 #: Shingles that go last in the order, at most (400 KB for each worker).
 HOT = 50_000
@@ -53,8 +53,8 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """2 to 4 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
-    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 1 - 6)
+    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
+    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 2 - 6)
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -247,7 +247,7 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
+def hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
     """a, b: pairs of hubs with classes of other components, in each size band of the tiles (key, class, n, label). Each class
     is in its first tile only; what that leaves out is left to block_pairs."""
 
@@ -261,7 +261,7 @@ def hub_pairs(members: DataFrame) -> DataFrame:
                 for x, y in bands(n, i, j):
                     if (label[x:y] == label[x]).all():
                         continue
-                    for h in x + np.argsort(cls[x:y])[: HUBS * (y - x).bit_length()]:
+                    for h in x + np.argsort(cls[x:y])[:hubs]:
                         others = cls[x:y][label[x:y] != label[h]]
                         left.append(np.full(len(others), cls[h]))
                         right.append(others)
@@ -386,13 +386,14 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(bounded(tiles.where("b is not null").select("a", "b").distinct(), classes))
     labels = connected(links(docs, pairs, classes))
     members = tiles.where("b is null").select("key", F.col("a").alias("class"), "n")
-    for further in (hub_pairs, block_pairs) if not members.isEmpty() else ():
+    for hubs in (*HUBS, 0) if not members.isEmpty() else ():
         marked = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         open_tiles = marked.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
         marked = stored(marked.join(open_tiles, "key", "left_semi"))
-        if further is block_pairs:
-            marked = marked.join(classes.select("class", "bits"), "class")
-        more = stored(bounded(further(marked).distinct().join(pairs, ["a", "b"], "left_anti"), classes))
+        if marked.isEmpty():
+            break
+        new = hub_pairs(marked, hubs) if hubs else block_pairs(marked.join(classes.select("class", "bits"), "class"))
+        more = stored(bounded(new.distinct().join(pairs, ["a", "b"], "left_anti"), classes))
         pairs = pairs.union(more)
         labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links(docs, more, classes)))
     named = described.join(labels.withColumnRenamed("node", "class"), "class", "left")
