@@ -16,7 +16,7 @@ from korpusmill.llm.hashing import Powers, mix, prefix_sums, substrings
 LENGTH, K = 200, 40
 PLACE = np.uint64((1 << 24) - 1)
 #: Bytes looked at together; longer texts go in parts that overlap by LENGTH - 1.
-MOST = 2 << 20
+MOST = 1 << 19
 
 
 @dataclass

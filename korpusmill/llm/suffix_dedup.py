@@ -42,7 +42,7 @@ def runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", 1 << 19):
                 rows = b.column("row").to_numpy()
                 for r in find_runs(*utf8(b.column("text")), tables):
                     columns = (r.anchor.view(np.int64), r.check.view(np.int64), rows[r.text], r.start, r.windows.astype(np.int32), r.place.astype(np.int32))
