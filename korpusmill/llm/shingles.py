@@ -7,6 +7,8 @@ import numpy as np
 from korpusmill.llm.hashing import Powers, mix, prefix_sums, substrings
 
 WORDS = 5
+#: Bytes whose prefix sums are held at a time, about; a longer word is hashed whole.
+PIECE = 1 << 18
 #: The ASCII white-space bytes that separate words.
 WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.arange(256, dtype=np.uint8) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint8)
@@ -26,8 +28,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, tables: Powers) -> tuple[
     ends[:-1] &= ~inside[1:]
     last = offsets[1:][np.diff(offsets) > 0] - 1
     ends[last] = inside[last]
-    start = np.flatnonzero(starts)
-    return substrings(prefix_sums(low, tables), start, np.flatnonzero(ends) + 1, tables), np.searchsorted(start, offsets)
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        at = start[i]
+        out[i:j] = substrings(prefix_sums(low[at : end[j - 1]], tables), start[i:j] - at, end[i:j] - at, tables)
+        i = j
+    return out, np.searchsorted(start, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, tables: Powers, k: int = WORDS) -> list[np.ndarray]:
