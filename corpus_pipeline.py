@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from korpusmill.llm import jaccard, langid, mixing, packing, suffix_dedup
-from korpusmill.llm.common import shared_folder, table
+from korpusmill.llm.common import batches_of, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,6 +38,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+#: Python workers outlive a stage beside a heap that doesn't shrink, so every stage sends them small batches.
+ARROW_BATCH = "8m"
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
     ("jaccard_join", drop_near_duplicates),
@@ -52,7 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with batches_of(spark, ARROW_BATCH):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,6 +25,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker lives on between tasks and would keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int):
     """The batch in parts whose texts have about ``most`` bytes at most (a longer text is a part of its own)."""
     _, at = utf8(batch.column(text))
@@ -31,3 +41,4 @@ def slices(batch: pa.RecordBatch, text: str, most: int):
         stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.arrow import slices, utf8
+from korpusmill.llm.arrow import give_back, slices, utf8
 from korpusmill.llm.common import batches_of, free_name, stored
 from korpusmill.llm.components import connected
 from korpusmill.llm.hashing import Powers
@@ -191,6 +191,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[p
         held = [t.slice(at[-1])]
     if held:
         yield pa.concat_tables(held).combine_chunks()
+        held.clear()
+    give_back()
 
 
 def distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
