@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from korpusmill.llm.anchors import LENGTH, find_runs
 from korpusmill.llm.arrow import slices, utf8
@@ -150,8 +149,9 @@ def cut_out(text: bytes, ranges: list[dict]) -> tuple[bytes, int, int]:
     return kept, len(text) - len(kept), len(a)
 
 
-def strip_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of docs, without text, and n_bytes, n_removed, n_spans, kept (binary): each text without its repeated bytes."""
+def strip_repeats(docs: DataFrame, valid: bool = False) -> DataFrame:
+    """The columns of docs, without text, and n_bytes, n_removed, n_spans, kept (binary): each text without its repeated bytes.
+    valid drops from kept the bytes of a character that was cut apart."""
     row, text = free_name(docs, "row"), F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     ranges = repeated_ranges(keyed.select(F.col(row).alias("row"), text.alias("text")))
@@ -161,8 +161,10 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 found = [cut_out(t.as_buffer().to_pybytes(), r.as_py()) for t, r in zip(b.column("text"), b.column("ranges"))]
+                if valid:
+                    found = [(k.decode("utf-8", "ignore").encode(), *counts) for k, *counts in found]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.diff(utf8(b.column("text"))[1])), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = packed.schema["doc"].dataType.simpleString()
@@ -179,12 +181,6 @@ def repeats_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the kept bytes as their text (a character that is cut apart goes) and n_chars to match."""
-    kind = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if t is None else t.decode("utf-8", "ignore") for t in b.column("kept").to_pylist()]
-            swap = {"text": pa.array(texts, pa.string())} | ({"n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())} if "n_chars" in kind.names else {})
-            yield pa.RecordBatch.from_arrays([swap[c] if c in swap else b.column(c) for c in kind.names], names=kind.names)
-
-    return strip_repeats(docs).select(*[c for c in docs.columns if c != "text"], "kept").mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in kind]))
+    text = F.col("kept").cast("string")
+    swap = {"text": text.alias("text")} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
+    return strip_repeats(docs, valid=True).select(*[swap.get(c, F.col(c)) for c in docs.columns])
