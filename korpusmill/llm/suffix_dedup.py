@@ -183,4 +183,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the kept bytes as their text (a character that is cut apart goes) and n_chars to match."""
     text = F.col("kept").cast("string")
     swap = {"text": text.alias("text")} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
-    return strip_repeats(docs, valid=True).select(*[swap.get(c, F.col(c)) for c in docs.columns])
+    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("held"), "text")
+    return strip_repeats(held, valid=True).select(*[swap[c] if c in swap else F.col("held")[c].alias(c) for c in docs.columns])

@@ -73,6 +73,13 @@ def test_suffix_dedup_equals_brute_force(written):
     assert suffix_dedup.without_repeats(written).columns == written.columns
 
 
+def test_suffix_dedup_keeps_clashing_columns(written, tmp_path):
+    written.selectExpr("*", "1 as kept", "2 as n_bytes", "3 as held", "4 as row").write.parquet(str(tmp_path / "c"))
+    docs = written.sparkSession.read.parquet(str(tmp_path / "c"))
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.select("kept", "n_bytes", "held", "row").distinct().collect() == [(1, 2, 3, 4)]
+
+
 def test_refinement_finds_equal_windows():
     r = np.random.default_rng(1)
     data = r.integers(0, 2, 400).astype(np.uint8)
