@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,3 +53,40 @@ def in_order(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """Rows of the asked ids (place, key), in the order in which they were first asked."""
     first = asked.groupBy(key).agg(F.min("place").alias("place"))
     return first.join(rows, key).orderBy("place")
+
+
+def quota_sample(spark: SparkSession, topics: list[tuple[DataFrame, int]], total: int) -> DataFrame:
+    """place, doc_id, topic: of each topic's ranked documents (doc_id, score), the best that no earlier topic took, up to its quota and the
+    total. Four times the quota are looked at, so the candidates on the driver are bounded by the quotas, not by the corpus."""
+    taken: dict[object, int] = {}
+    for number, (scored, quota) in enumerate(topics):
+        left = quota
+        for row in scored.orderBy("score", "doc_id").limit(4 * quota).collect():
+            if left and len(taken) < total and row["doc_id"] not in taken:
+                taken[row["doc_id"]] = number
+                left -= 1
+    return spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(taken.items())], "place int, doc_id long, topic int")
+
+
+def representativeness(population: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+    """Each stratum's size, share, share of the sample, and deficit (share that the sample lacks)."""
+    size = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = size(population, "n").join(size(sample, "sampled"), keys, "left").fillna(0, ["sampled"])
+    totals = both.agg(F.sum("n").alias("_n"), F.sum("sampled").alias("_s"))
+    out = both.crossJoin(F.broadcast(totals))  # one row
+    share, got = F.col("n") / F.col("_n"), F.coalesce(F.try_divide("sampled", "_s"), F.lit(0.0))
+    return out.select(*keys, "n", "sampled", F.round(share, 9).alias("share"), F.round(got, 9).alias("sample_share"), F.round(F.greatest(share - got, F.lit(0.0)), 9).alias("deficit"))
+
+
+def total_variation(strata_shares: DataFrame) -> DataFrame:
+    """One row, tvd: half the sum of the differences between the shares of representativeness()."""
+    return strata_shares.agg(F.round(F.sum(F.abs(F.col("share") - F.col("sample_share"))) / 2, 6).alias("tvd"))
+
+
+def stratified_split(rows: DataFrame, stratum: str, id_col: str, test_share: float = 0.25) -> DataFrame:
+    """rows with is_test: the first quarter of each stratum by sampling key; strata of one row are put together."""
+    per = Window.partitionBy(stratum)
+    merged = rows.withColumn("_stratum", F.when(F.count("*").over(per) > 1, F.col(stratum)))
+    own = Window.partitionBy("_stratum")
+    place = F.row_number().over(own.orderBy(sampling_key(F.col(id_col)), id_col))
+    return merged.withColumn("is_test", place <= F.ceil(F.count("*").over(own) * test_share)).drop("_stratum")

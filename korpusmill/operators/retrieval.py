@@ -63,3 +63,9 @@ def f1_report(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     micro = by.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).select(F.lit("micro").alias("average"), *[F.round(r, 6).alias(n) for n, r in zip(names, rates(F.col("tp"), F.col("fp"), F.col("fn")))])
     macro = by.select(*[r.alias(n) for n, r in zip(names, rates(F.col("tp"), F.col("fp"), F.col("fn")))]).agg(*[F.round(F.avg(n), 6).alias(n) for n in names]).select(F.lit("macro").alias("average"), *names)
     return micro.unionByName(macro)
+
+
+def by_document(hits: DataFrame, least: float, weight: float = 0.3) -> DataFrame:
+    """doc_id, score, passages: the best passage's score plus a bonus for the number of passages (doc_id, score) above least."""
+    many = F.count_if(F.col("score") > least)
+    return hits.groupBy("doc_id").agg(F.round(F.max("score") + weight * F.log1p(many), 6).alias("score"), many.alias("passages"))

@@ -7,10 +7,12 @@ length, documents per phrase) are always those of the whole corpus, so a filter
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from korpusmill.functions.text import fold, tokens
 
@@ -32,15 +34,20 @@ def frequency(toks: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(toks, lambda x: matches(x, phrase[0]))) if len(phrase) == 1 else F.size(places(toks, phrase))
 
 
-def ranked(docs: DataFrame, phrases: list[list[str]], every: bool = True, where: Column | None = None, columns: list[str] | None = None, scope: str | None = None) -> DataFrame:
-    """doc_id and score (lower is better) of the documents with all phrases, or with any. columns are indexed; scope limits the match to one of them."""
+def ranked(docs: DataFrame, phrases: list[list[str]], every: bool | Callable[[list[Column]], Column] = True, where: Column | None = None, columns: list[str] | None = None, scope: str | list[str | None] | None = None) -> DataFrame:
+    """doc_id and score (lower is better) of the documents with all phrases, with any, or that pass a test of the phrases' hits. columns are
+    indexed; scope limits the match to one of them, for all phrases or for each."""
     names = columns or ["text"]
     whole = tokens(F.concat_ws("\n", *names))
     tf = [F.col(f"_tf{i}") for i in range(len(phrases))]
-    # the transform over one array binds the tokens once; as a column they would be split again for every token
-    all_tf = lambda t: F.array(*[frequency(t, p) for p in phrases])
-    df = docs.select("*", F.size(whole).alias("_len"), F.get(F.transform(F.array(tokens(F.col(scope)) if scope else whole), all_tf), F.lit(0)).alias("_all"))
-    df = df.select(*docs.columns, "_len", *[F.get("_all", F.lit(i)).alias(f"_tf{i}") for i in range(len(phrases))])
+    scopes = scope if isinstance(scope, list) else [scope] * len(phrases)
+    df = docs.select("*", F.size(whole).alias("_len"))
+    for s in dict.fromkeys(scopes):
+        own = [i for i, x in enumerate(scopes) if x == s]
+        # the transform over one array binds the tokens once; as a column they would be split again for every token
+        all_tf = lambda t: F.array(*[frequency(t, phrases[i]) for i in own])  # noqa: B023,E731
+        df = df.select("*", F.get(F.transform(F.array(tokens(F.col(s)) if s else whole), all_tf), F.lit(0)).alias("_all"))
+        df = df.select("*", *[F.get("_all", F.lit(k)).alias(f"_tf{i}") for k, i in enumerate(own)]).drop("_all")
     figures = df.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(t > 0).alias(f"df{i}") for i, t in enumerate(tf)]).first()
     score = F.lit(0.0)
     for i, t in enumerate(tf):
@@ -48,7 +55,7 @@ def ranked(docs: DataFrame, phrases: list[list[str]], every: bool = True, where:
         idf = max(math.log((figures["n"] - df_i + 0.5) / (df_i + 0.5)), LEAST_IDF) if figures["n"] else 0.0
         score = score - F.lit(idf) * (t * (K1 + 1)) / (t + K1 * (1 - B + B * F.col("_len") / F.lit(figures["avg"] or 1.0)))
     found = [t > 0 for t in tf]
-    df = df.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found))
+    df = df.where(every(found) if callable(every) else reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found))
     return (df.where(where) if where is not None else df).select("doc_id", F.round(score, 6).alias("score"))
 
 
@@ -83,3 +90,14 @@ def postings(docs: DataFrame) -> DataFrame:
     """token, doc_id, tf, positions: an inverted index to be written sorted by token."""
     each = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
     return each.groupBy("token", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def prefix_growth(docs: DataFrame, word: str, least: int = 3, step: float = 3.0) -> DataFrame:
+    """prefix, size, df, growth (against the prefix that is a letter longer; null for the word itself) and take: whether the word may be shortened
+    so far, that is, whether no step on the way multiplies the documents by more than step."""
+    forms = {n: word[:n] for n in range(least, len(word) + 1)}
+    found = document_frequency(docs, [f"{p}*" for p in forms.values()]).select(F.expr("substring(form, 1, length(form) - 1)").alias("prefix"), F.col("df").cast("bigint").alias("df"))
+    sized = found.withColumn("size", F.length("prefix"))
+    longer = Window.orderBy(F.desc("size"))  # one row for each letter of a word
+    grown = sized.withColumn("growth", F.round(F.try_divide("df", F.lag("df").over(longer)), 6))
+    return grown.withColumn("take", F.coalesce(F.max("growth").over(longer.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) <= step)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as tx
-from korpusmill.operators import chunking, classify, corpus, learn, retrieval, search
+from korpusmill.operators import article, bundle, chunking, classify, corpus, learn, match, retrieval, search
+from korpusmill.sources import records, sinks
 from korpusmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,3 +377,80 @@ def ovr_logreg_metrics(spark, sf):
     found = learn.one_vs_rest(docs, truth, ["quality", "toxic"])
     held = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).select("doc_id")
     return retrieval.f1_report(found.where("held_out").select("doc_id", "label"), truth.join(held, "doc_id", "left_semi"))
+
+
+# ---- query strings, articles, samples, sinks ----
+
+
+@query(bm25_sql(["of the", "der*"], every=False))
+def fts_query_string(spark, sf):
+    return search.best(match.ask(read(spark, sf, "documents"), '"of the" OR der*'))
+
+
+@query()
+def fts_query_fallback(spark, sf):
+    return match.search_text(read(spark, sf, "documents"), "of the.")
+
+
+@query()
+def chunk_article(spark, sf):
+    return article.chunk_articles(read(spark, sf, "documents"))
+
+
+@query()
+def topic_quota_sample(spark, sf):
+    docs = read(spark, sf, "documents").where(F.length("text").between(500, 120_000))
+    return corpus.quota_sample(spark, [(match.ask(docs, q), n) for q, n in (('"of the"', 6), ("the OR der", 6), ("que", 4))], 14)
+
+
+SAMPLED = "(o_orderkey % 7 = 0)"
+
+
+@query(f"""WITH s AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER {SAMPLED.replace('(', '(WHERE ')} AS sampled FROM orders GROUP BY 1), t AS (SELECT sum(n) AS a, sum(sampled) AS b FROM s)
+SELECT o_orderpriority, n, sampled, round(n / a, 9) AS share, round(sampled / b, 9) AS sample_share, round(greatest(n / a - sampled / b, 0), 9) AS deficit FROM s, t""")
+def representativeness(spark, sf):
+    orders = read(spark, sf, "orders")
+    return corpus.representativeness(orders, orders.where(SAMPLED), ["o_orderpriority"])
+
+
+@query(f"""WITH s AS (SELECT count(*) AS n, count(*) FILTER {SAMPLED.replace('(', '(WHERE ')} AS m FROM orders GROUP BY o_orderpriority)
+SELECT round(sum(abs(round(n / (SELECT sum(n) FROM s), 9) - round(m / (SELECT sum(m) FROM s), 9))) / 2, 6) AS tvd FROM s""")
+def total_variation(spark, sf):
+    return corpus.total_variation(representativeness(spark, sf))
+
+
+@query(f"""WITH k AS (SELECT c_custkey, c_nationkey, CASE WHEN count(*) OVER (PARTITION BY c_nationkey) > 1 THEN c_nationkey END AS s, {KEY.format('c_custkey')} AS k FROM customer)
+SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY s ORDER BY k, c_custkey) <= ceil(count(*) OVER (PARTITION BY s) * 0.25) AS is_test FROM k""")
+def stratified_split(spark, sf):
+    return corpus.stratified_split(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey")
+
+
+@query("""SELECT l_orderkey AS doc_id, round(max(l_quantity::DOUBLE) + 0.3 * ln(1 + count(*) FILTER (l_quantity > 20)), 6) AS score, count(*) FILTER (l_quantity > 20) AS passages
+FROM lineitem GROUP BY 1""")
+def doc_aggregation(spark, sf):
+    return retrieval.by_document(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("double").alias("score")), 20.0)
+
+
+@query("SELECT asked AS doc_id FROM (VALUES (42::BIGINT), (99999999), (-5)) AS v(asked) WHERE asked NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
+def missing_ids(spark, sf):
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("bigint") for x in (42, 99999999, -5)])).alias("doc_id"))
+    return corpus.not_in(asked, read(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query()
+def bundle_explained(spark, sf):
+    docs = read(spark, sf, "documents")
+    asked = bundle.questions([{"text": "the", "branch": bundle.WORDS, "label": "first"}, {"text": '"of the"', "branch": bundle.WORDS, "weight": 3.0, "label": "second"}])
+    hits = [retrieval.ranks(match.ask(docs, q.text), q.label, b, q.weight) for q in asked for b in q.branches]
+    return bundle.explain(retrieval.fuse(functools.reduce(lambda a, b: a.unionByName(b), hits)))
+
+
+@query()
+def html_links(spark, sf):
+    return records.page_links(read(spark, sf, "pages"))
+
+
+@query("SELECT doc_id, '# ' || source || chr(10) || chr(10) || coalesce('- **lang:** ' || nullif(lang, '') || chr(10), '') || '- **Izvor:** ' || doc_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || trim(coalesce(text, '')) || chr(10) AS md FROM documents WHERE source IS NOT NULL")
+def markdown_export(spark, sf):
+    docs = read(spark, sf, "documents").where("source is not null")
+    return docs.select("doc_id", sinks.markdown(F.col("source"), F.col("text"), F.col("doc_id").cast("string"), {"lang": F.col("lang")}).alias("md"))
