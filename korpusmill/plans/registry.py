@@ -454,3 +454,65 @@ def html_links(spark, sf):
 def markdown_export(spark, sf):
     docs = read(spark, sf, "documents").where("source is not null")
     return docs.select("doc_id", sinks.markdown(F.col("source"), F.col("text"), F.col("doc_id").cast("string"), {"lang": F.col("lang")}).alias("md"))
+
+
+# ---- prefixes, statistics and literals ----
+
+
+@query(f"""WITH t AS (SELECT {tokens_sql('text')} AS t FROM documents), f AS (SELECT 'anania'[:n] AS prefix, n AS size FROM range(3, 7) AS r(n)),
+d AS (SELECT prefix, size::INT AS size, count(*) FILTER (len(list_filter(t, lambda x: starts_with(x, prefix))) > 0) AS df FROM t, f GROUP BY ALL),
+g AS (SELECT *, CASE WHEN lag(df) OVER (ORDER BY size DESC) > 0 THEN round(df / lag(df) OVER (ORDER BY size DESC), 6) END AS growth FROM d)
+SELECT *, coalesce(max(growth) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING), 0) <= 3 AS take FROM g""")
+def prefix_growth(spark, sf):
+    return search.prefix_growth(read(spark, sf, "documents"), "anania")
+
+
+@query(f"""SELECT o_orderkey, {KEY.format('o_orderkey')} AS sample_key FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995 ORDER BY sample_key, o_orderkey LIMIT 25""")
+def stratum_sample(spark, sf):
+    one = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and year(o_orderdate) = 1995")
+    return one.select("o_orderkey", corpus.sampling_key(F.col("o_orderkey")).alias("sample_key")).orderBy("sample_key", "o_orderkey").limit(25)
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def dedupe_latest(spark, sf):
+    return corpus.latest(read(spark, sf, "events"), ["user_id"], [F.desc("event_id")]).select("user_id", "event_id")
+
+
+@query("SELECT doc_id, length(text)::INT AS size FROM documents WHERE length(text) BETWEEN 500 AND 120000")
+def length_filter(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.length("text").alias("size")).where(F.col("size").between(500, 120_000))
+
+
+@query("""SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (lang IS NOT NULL) AS labelled, round(100 * count(*) FILTER (lang IS NOT NULL) / greatest(count(*), 1), 3) AS percent,
+min(n_chars) AS shortest, max(n_chars) AS longest FROM documents""")
+def corpus_stats_conditional(spark, sf):
+    labelled = F.count_if(F.col("lang").isNotNull())
+    return read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources"), labelled.alias("labelled"), F.round(100 * labelled / F.greatest(F.count("*"), F.lit(1)), 3).alias("percent"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@query("SELECT coalesce(lang, '?') AS lang, source, max(n_chars) AS longest, count(*) AS n FROM documents GROUP BY ALL")
+def corpus_stats_two_keys(spark, sf):
+    return read(spark, sf, "documents").groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), "source").agg(F.max("n_chars").alias("longest"), F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('v. https://doi.org/10.1234/ab.c-9. i dalje', '10.1234/ab.c-9', 2004, 'Vol. 3, br. 2, 2004', '2004_05_12_345', 'Rev'), ('bez', NULL, 2004, 'Vol. 3, br. 2, 2004', NULL, 'Rev'))
+AS t(raw, doi, year, citation, gazette, register)""")
+def literals(spark, sf):
+    rows = spark.range(1).select(F.explode(F.array(F.struct(F.lit("v. https://doi.org/10.1234/ab.c-9. i dalje").alias("raw"), F.lit("/sluzbeni/2004_05_12_345.html").alias("url")), F.struct(F.lit("bez").alias("raw"), F.lit("/x").alias("url")))).alias("r")).select("r.*")
+    cited = tx.citation(F.lit("3"), F.lit("2"), F.lit("2004"))
+    return rows.select("raw", tx.doi(F.col("raw")).alias("doi"), tx.any_year(F.lit("objavljeno 2004.")).alias("year"), cited.alias("citation"), tx.gazette_id(F.col("url")).alias("gazette"), tx.register_of(F.lit("Rev-533/2015-2")).alias("register"))
+
+
+@query("SELECT phrase, count(*) FILTER (contains(lower(text), phrase)) AS documents, count(*) FILTER (contains(lower(text), phrase)) = 0 AS suspicious FROM documents, (VALUES ('the'), ('of the'), ('zzqxj')) AS p(phrase) GROUP BY phrase")
+def control_phrases(spark, sf):
+    phrases = ["the", "of the", "zzqxj"]
+    one = read(spark, sf, "documents").agg(*[F.count_if(F.contains(F.lower("text"), F.lit(p))).alias(p) for p in phrases])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phrase"), F.col(f"`{p}`").alias("documents")) for p in phrases])).alias("x"))
+    return rows.select("x.*", (F.col("x.documents") == 0).alias("suspicious"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 5) AS sim FROM v, v AS q WHERE q.vec_id IN (3, 7, 11))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk_batch(spark, sf):
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_topk(v, v.where("vec_id in (3, 7, 11)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
