@@ -1,7 +1,7 @@
 """Harvested XML and portal pages to records, as column expressions (native: XPath and regular expressions).
 
-An XML response is one string. Names are matched with their prefix, as the protocol's responses write them. A null or malformed-free
-empty response gives no records.
+An XML response is one string. Names are matched with their prefix, as the protocol's responses write them. A null or empty response gives no
+records; a record that isn't well-formed XML fails the query.
 """
 
 from __future__ import annotations
