@@ -3,7 +3,9 @@
 Token counts come from all learning documents. The ``VOCABULARY`` most frequent tokens are the model's own, in frequency classes;
 every other token belongs to one further class, inside which it has its share of the corpus's counts. The output
 is factored: softmax over classes, then over the words of one class. A gated recurrent unit is trained by truncated backpropagation
-on a bounded sample of learning documents (``SAMPLE_DOCS`` by a hash of doc_id, a slice of ``SLICE`` characters each). Scoring walks every whole
+on every whole learning document: the driver makes a first model from a few slices (``FIRST_DOCS``), the documents are dealt by a hash into parts of
+about ``PART_TOKENS`` tokens, every part trains that model over all of its documents, and the parts' weights are averaged by tokens. The
+number of parts and steps grows with the input. Scoring walks every whole
 document in windows of ``WINDOW`` steps and carries the state from one to the next, many documents side by side.
 
 The ``COMMON`` most frequent tokens' counts travel to the workers; for the other, rare tokens each document sends its words
@@ -31,8 +33,9 @@ from korpusmill.llm.common import ascii_lower, stored, words
 END = "\n"
 VOCABULARY, CLASSES, HIDDEN = 2048, 32, 16
 COMMON = 100_000
-SAMPLE_DOCS, SLICE = 600, 6000
+FIRST_DOCS, SLICE = 600, 6000
 STEPS, LANES, WINDOW = 500, 48, 32
+PART_TOKENS, PART_LANES, PART_RATE = 1 << 20, 256, 0.003
 SCORE_LANES, SCORE_BYTES = 512, 12 << 20
 
 
@@ -45,6 +48,18 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def softmax_gradient(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient of the cross entropy to the logits x, which it overwrites, and the summed loss."""
+    rows, one = np.arange(len(x)), np.ones((x.shape[1], 1), x.dtype)
+    np.minimum(x, 60, out=x)  # far above any trained logit; the sums stay finite without a maximum by row
+    own = x[rows, target].sum(dtype=np.float64)
+    np.exp(x, out=x)
+    total = x @ one
+    x *= 1 / total
+    x[rows, target] -= 1
+    return x, float(np.log(total).sum(dtype=np.float64) - own)
+
+
 class GruLM:
     """Ids 0..v-1 are words in order of frequency, v is any other word; class k has the words k * per .. (k + 1) * per - 1, and the last class the others."""
 
@@ -89,23 +104,24 @@ class GruLM:
     def output_gradients(self, h: np.ndarray, ids: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
         """Gradient to the states, loss; adds to g."""
         n, cls = len(ids), np.minimum(ids // self.per, self.classes)
-        lp = log_softmax(h @ self.p["wc"] + self.p["bc"])
-        loss, d = -lp[np.arange(n), cls].sum(), np.exp(lp)
-        d[np.arange(n), cls] -= 1
+        d, loss = softmax_gradient(h @ self.p["wc"] + self.p["bc"], cls)
         g["wc"] += h.T @ d
-        g["bc"] += d.sum(0)
+        g["bc"] += np.ones(n, d.dtype) @ d
         dh = d @ self.p["wc"].T
-        for k in np.unique(cls[cls < self.classes]):
-            at = np.flatnonzero(cls == k)
-            lp = log_softmax(h[at] @ self.p["ww"][k] + self.p["bw"][k])
-            rows, word = np.arange(len(at)), ids[at] - k * self.per
-            loss -= lp[rows, word].sum()
-            d = np.exp(lp)
-            d[rows, word] -= 1
-            g["ww"][k] += h[at].T @ d
-            g["bw"][k] += d.sum(0)
-            dh[at] += d @ self.p["ww"][k].T
-        return dh, float(loss)
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=self.classes + 1))])
+        states, words, back = h[order], ids[order], np.zeros_like(h)
+        for k in range(self.classes):
+            at = slice(edges[k], edges[k + 1])
+            if at.start == at.stop:
+                continue
+            d, more = softmax_gradient(states[at] @ self.p["ww"][k] + self.p["bw"][k], words[at] - k * self.per)
+            loss += more
+            g["ww"][k] += states[at].T @ d
+            g["bw"][k] += np.ones(len(d), d.dtype) @ d
+            back[at] = d @ self.p["ww"][k].T
+        dh[order] += back
+        return dh, loss
 
     def window_gradients(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """ids, fresh: (lanes, steps); where fresh, a document begins and the state is 0. Backpropagation stays inside the window."""
@@ -120,23 +136,29 @@ class GruLM:
         dh = dh.reshape(steps, lanes, -1)
         back = np.zeros_like(h)
         d = self.hidden
+        dx = np.empty((steps, lanes, 3 * d), h.dtype)
+        du = np.empty_like(dx)
+        wh = np.ascontiguousarray(self.p["wh"].T)
         for t in range(steps - 1, -1, -1):
-            word, before, z, r, n, un = kept[t]
-            dn = back * (1 - z) * (1 - n * n)
-            dz = back * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            np.add.at(g["wx"], word, dx)
-            g["b"] += dx.sum(0)
-            g["wh"] += before.T @ du
-            back = back * z + du @ self.p["wh"].T + dh[t]
-            back = np.where(fresh[:, t, None], 0, back)
+            _, before, z, r, n, un = kept[t]
+            dn = dx[t, :, 2 * d :] = back * (1 - z) * (1 - n * n)
+            dx[t, :, :d] = back * (before - n) * z * (1 - z)
+            dx[t, :, d : 2 * d] = dn * un * r * (1 - r)
+            du[t, :, : 2 * d] = dx[t, :, : 2 * d]
+            du[t, :, 2 * d :] = dn * r
+            back = back * z + du[t] @ wh + dh[t]
+            back[fresh[:, t]] = 0
+        dx, du, word = dx.reshape(-1, 3 * d), du.reshape(-1, 3 * d), ids.T.ravel()
+        g["b"] += dx.sum(0)
+        g["wh"] += np.concatenate(states).T @ du
+        order = np.argsort(word.astype(np.uint16), kind="stable")
+        seen, at = np.unique(word[order], return_index=True)
+        g["wx"][seen] = np.add.reduceat(dx[order], at)
         count = lanes * steps
         return {k: x / count for k, x in g.items()}, h, loss / count
 
-    def fit(self, docs: list[np.ndarray], steps: int = STEPS, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01) -> list[float]:
-        """Adam over windows of lanes that read the documents one after the other; returns the losses."""
+    def fit(self, docs: list[np.ndarray], steps: int | None = STEPS, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01) -> list[float]:
+        """Adam over windows of lanes that read the documents one after the other; returns the losses. Without steps, one pass over all documents."""
         whole = np.concatenate(docs)
         first = np.zeros(len(whole), bool)
         first[np.cumsum([0] + [len(x) for x in docs[:-1]])] = True
@@ -144,6 +166,7 @@ class GruLM:
         cols = max(window, -(-len(whole) // n) * window)
         ids, fresh = np.resize(whole, lanes * cols).reshape(lanes, cols), np.resize(first, lanes * cols).reshape(lanes, cols)
         fresh[:, 0] = True
+        steps = steps or cols // window
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         h, losses = np.zeros((lanes, self.hidden), np.float32), []
         for t in range(1, steps + 1):
@@ -230,6 +253,47 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def train_parts(docs: DataFrame, ids: dict[bytes, int], model: GruLM, parts: int) -> GruLM:
+    """The model, trained on over all learning documents in so many parts: the mean of the parts' weights by their tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, model))
+    names, end = sorted(model.p), END.encode()
+    size = sum(x.size for x in model.p.values())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, v = shared.value[0].get, len(shared.value[0])
+        for whole in batches:
+            for b in slices(whole, "text", SCORE_BYTES):
+                out = [np.array([get(w, v) for w in [*t.as_buffer().to_pybytes().lower().split(), end]], "<u2").tobytes() for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("part"), b.column("o"), pa.array(out, pa.binary())], names=["part", "o", "ids"])
+
+    def fit(part: pa.Table) -> pa.Table:
+        own = GruLM(model_size)
+        own.p = {k: x.copy() for k, x in shared.value[1].p.items()}
+        read = sorted(zip(part.column("o").to_pylist(), part.column("ids").to_pylist()))
+        texts = [np.frombuffer(x, "<u2").astype(np.int64) for _, x in read]
+        n = sum(len(x) for x in texts)
+        own.fit(texts, None, max(1, min(PART_LANES, n // (128 * WINDOW))), rate=PART_RATE)
+        flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64)
+        return pa.table({"part": part.column("part")[:1], "n": [n], "sums": pa.array([(flat * n).tobytes()], pa.binary())})
+
+    def add(some: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for _, x in sorted(zip(some.column("part").to_pylist(), some.column("sums"))):
+            total += np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"n": [sum(some.column("n").to_pylist())], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    model_size = model.v
+    dealt = learners(docs).select(F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(parts)).cast("int").alias("part"), F.xxhash64("doc_id", "text").alias("o"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    fitted = dealt.mapInArrow(encode, "part int, o bigint, ids binary").groupBy("part").applyInArrow(fit, "part int, n bigint, sums binary")
+    rows = fitted.groupBy((F.col("part") % int(np.ceil(np.sqrt(parts)))).alias("some")).applyInArrow(add, "n bigint, sums binary").collect()
+    mean = sum(np.frombuffer(r["sums"], np.float64) for r in rows) / sum(r["n"] for r in rows)
+    out, at = GruLM(model.v), 0
+    for k in names:
+        out.p[k] = mean[at : at + model.p[k].size].reshape(model.p[k].shape).astype(np.float32)
+        at += model.p[k].size
+    return out
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Scorer | None:
     """None if there is nothing to learn from."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -243,8 +307,9 @@ def train(docs: DataFrame, counts: DataFrame) -> Scorer | None:
     others = int(total["n"] - inside.sum())
     model.start_from(inside, others)
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SLICE, F.lit(1))).cast("int") + 1
-    rows = learners(docs).select(F.xxhash64("doc_id").alias("o"), "doc_id", F.substr(F.coalesce("text", F.lit("")), place, F.lit(SLICE)).alias("t")).orderBy("o", "doc_id", "t").limit(SAMPLE_DOCS).collect()
+    rows = learners(docs).select(F.xxhash64("doc_id").alias("o"), "doc_id", F.substr(F.coalesce("text", F.lit("")), place, F.lit(SLICE)).alias("t")).orderBy("o", "doc_id", "t").limit(FIRST_DOCS).collect()
     model.fit([np.array([ids.get(w, len(own)) for w in [*r["t"].encode().lower().split(), END.encode()]], np.int64) for r in rows])
+    model = train_parts(docs, ids, model, max(1, round(total["n"] / PART_TOKENS)))
     return Scorer({w.encode(): c for w, c in common}, ids, model, int(total["n"]), int(total["v"]), others, int(total["v"]) - len(own))
 
 

@@ -201,6 +201,17 @@ def test_base_score_and_tokens(written):
     assert all(r["score"] < 0 for r in rows)
 
 
+def test_every_learning_document_trains(spark):
+    """Documents of the driver's first model have their words in random order, all others in a fixed one, with the same counts."""
+    ids = spark.range(2400).select(F.col("id").alias("doc_id"))
+    first = {r["doc_id"] for r in gru_lm.learners(ids).orderBy(F.xxhash64("doc_id")).limit(gru_lm.FIRST_DOCS).collect()}
+    ws, r = [f"w{i}" for i in range(8)] * 8, np.random.default_rng(5)
+    rows = [(k, " ".join(r.permutation(ws) if k in first else ws)) for k in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    held = gru_lm.score_documents(docs).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.05
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.col("id").cast("string").alias("key"))
     listed = universe.where("cast(key as int) % 7 = 0")
