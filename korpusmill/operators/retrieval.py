@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RRF_K = 60
+#: Vectors or queries that meet at once.
+BLOCK = 1024
+
+
+def blocks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """One row for about BLOCK rows each: their keys and values as a list of structs (key, value)."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))).alias(name)).select(name)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def matrix(block: pa.StructScalar) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys in ascending order, their vectors as rows filled up with 0, and the vectors' sizes, -1 for a null."""
+    keys, lists = block.values.field("key"), block.values.field("value")
+    order = pc.sort_indices(keys, null_placement="at_start")
+    keys, lists = keys.take(order), lists.take(order)
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(keys), max(int(size.max()), 1)))
+    out[np.arange(out.shape[1]) < size[:, None]] = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    return keys, out, size
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, vec_id, sim, rank: the k most similar vectors (vec_id, embedding) of each of a few queries (qid, query)."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 5).alias("sim"))
+    """qid, vec_id, sim, rank: the k most similar vectors (vec_id, embedding) of each query (qid, query), of which there may be many.
+
+    Blocks of vectors meet blocks of queries, and each meeting keeps the k best of a query; these are ranked in the end.
+    The similarity is null, which ranks last, if a vector is null, has a null or NaN in it or differs in size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v, q in zip(b.column("v"), b.column("q")):
+                (ids, x, n), (qids, y, m) = matrix(v), matrix(q)
+                wide = min(x.shape[1], y.shape[1])
+                sim = y[:, :wide] @ x[:, :wide].T
+                sim = np.copysign(np.floor(np.abs(sim) * 1e5 + 0.5), sim) / 1e5
+                sim[(m[:, None] != n) | (m[:, None] < 0)] = np.nan
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(sim, best, 1).ravel()
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.repeat(np.arange(len(qids)), best.shape[1]))), ids.take(pa.array(best.ravel())), pa.array(top, mask=np.isnan(top))], names=["qid", "vec_id", "sim"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    met = blocks(vectors, "vec_id", "embedding", "v").crossJoin(blocks(queries, "qid", "query", "q"))
+    scored = met.mapInArrow(run, f"qid {kind(queries, 'qid')}, vec_id {kind(vectors, 'vec_id')}, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 

@@ -126,6 +126,13 @@ def vector_topk(spark, sf):
     return retrieval.vector_topk(v, v.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 10)
 
 
+@query(f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
+def vector_topk_every_50th(spark, sf):
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 10)
+
+
 def ranked_sql(name: str, sql: str, label: str, weight: float) -> str:
     return f"{name} AS (SELECT doc_id, row_number() OVER (ORDER BY score, doc_id) AS rank, '{label}' AS label, 'bm25' AS branch, {weight}::DOUBLE AS weight FROM ({sql}))"
 
