@@ -35,10 +35,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write a table into the shared folder and read it back: cuts the lineage and outlives lost executors. It goes when the driver ends, or by drop()."""
     path = f"{shared_folder(df.sparkSession)}/korpusmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, place = _files(df.sparkSession, path)
+    files.deleteOnExit(place)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that everything later was already written from; a later read of them fails."""
+    for t in tables:
+        files, place = _files(t.sparkSession, t._stored_at)
+        files.delete(place, True)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """docs and a key of each row, (file, at): the file it stands in and its place there. Unlike a number given while reading, it's the same however
+    the files are split among tasks, so jobs that read docs again can be joined by it. What isn't plainly read from files is stored first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        docs = stored(docs)
+    at = docs.metadataColumn("_metadata")
+    return docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Names as select() takes them, whatever dots or spaces they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from korpusmill.llm.common import free_name, shift_right, stored, words
+from korpusmill.llm.common import free_name, quoted, shift_right, stored, with_row, words
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -77,8 +77,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the sample emits it. docs has to be a table read from files, so that its row keys last."""
-    row, times = free_name(docs, "_row"), free_name(docs, "_copies")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    n = copies(keyed, keep=(row,), id_col="doc_id").where("copies > 0").select(row, F.col("copies").alias(times))
-    return keyed.join(n, row).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))).select(*docs.columns)
+    """The documents, each as often as the sample emits it."""
+    row, times = free_name(docs, "row"), free_name(docs, "copies")
+    keyed = with_row(docs, row)
+    n = copies(keyed, keep=(row,)).where("copies > 0").select(row, F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(times))
+    return keyed.join(n, row).withColumn(times, F.explode(times)).select(*quoted(docs.columns))
