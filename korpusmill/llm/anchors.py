@@ -21,7 +21,8 @@ MOST = 1 << 19
 
 @dataclass
 class Runs:
-    """Parallel arrays: text, first window start in the text, number of windows, anchor's hash, and two hashes of the run's bytes with the anchor's place."""
+    """Parallel arrays: text, first window start in the text, number of windows, anchor's hash, two hashes of the run's bytes (one with their number and
+    the anchor's place), and that place."""
 
     text: np.ndarray
     start: np.ndarray
@@ -32,6 +33,13 @@ class Runs:
     place: np.ndarray
 
 
+class Tables:
+    """What find_runs() needs: powers of two unlike hashes, and which order of the K-byte strings decides (seed)."""
+
+    def __init__(self, seed: int = 0):
+        self.one, self.other, self.seed = Powers(), Powers(1), np.uint64(seed)
+
+
 def parts(offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """(text, from, to) byte stretches, in lists of about MOST bytes."""
     out, now, room = [], [], MOST
@@ -49,19 +57,21 @@ def parts(offsets: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return [*out, now] if now else out
 
 
-def find_runs(data: np.ndarray, offsets: np.ndarray, tables: Powers) -> list[Runs]:
+def find_runs(data: np.ndarray, offsets: np.ndarray, tables: Tables) -> list[Runs]:
     return [_runs(data, offsets, p, tables) for p in parts(offsets)]
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, stretch: list[tuple[int, int, int]], tables: Powers) -> Runs:
+def _runs(data: np.ndarray, offsets: np.ndarray, stretch: list[tuple[int, int, int]], tables: Tables) -> Runs:
     text, a, b = (np.array(c, np.int64) for c in zip(*stretch))
     size = b - a
     begin = np.cumsum(size) - size
     buf = np.concatenate([data[x:y] for x, y in zip(a.tolist(), b.tolist())])
-    sums = prefix_sums(buf, tables)
+    sums = prefix_sums(buf, tables.one)
     n = len(buf)
     at = np.arange(n - K + 1)
-    grams = substrings(sums, at, at + K, tables)
+    grams = substrings(sums, at, at + K, tables.one)
+    if tables.seed:
+        grams = mix(grams + tables.seed)
     least = (grams & ~PLACE) | at.astype(np.uint64)
     span, width = LENGTH - K + 1, 1
     while 2 * width <= span:
@@ -83,6 +93,6 @@ def _runs(data: np.ndarray, offsets: np.ndarray, stretch: list[tuple[int, int, i
     last = np.flatnonzero(stop)
     where = np.searchsorted(begin, first, "right") - 1
     place = anchor[first] - first
-    content = substrings(sums, first, last + LENGTH, tables)
-    check = mix(content + place.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + mix((last - first).astype(np.uint64)))
+    content = substrings(prefix_sums(buf, tables.other), first, last + LENGTH, tables.other)
+    check = mix(substrings(sums, first, last + LENGTH, tables.one) + place.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + mix((last - first).astype(np.uint64)))
     return Runs(text[where], first - begin[where] + a[where] - offsets[text[where]], last - first + 1, grams[anchor[first]], content, check, place)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: An odd multiplier and its inverse modulo 2**64: prefix sums of byte * BASE**i give any substring's polynomial hash.
+#: An odd multiplier modulo 2**64: prefix sums of byte * BASE**i give any substring's polynomial hash.
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,15 +27,20 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Tables of powers that grow when needed."""
-
-    def __init__(self):
+    """Tables of powers that grow when needed. Another seed has another base, and numbers of its own for the bytes, so its hashes collide elsewhere."""
+
+    def __init__(self, seed: int = 0):
+        self.base = BASE + 2 * seed
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.byte = np.arange(1, 257, dtype=np.uint64)
+        if seed:
+            self.byte = mix(self.byte * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
         self.up = self.down = np.ones(0, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            self.up, self.down = powers(BASE, size), powers(INVERSE, size)
+            self.up, self.down = powers(self.base, size), powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
 
@@ -44,7 +48,7 @@ def prefix_sums(data: np.ndarray, tables: Powers) -> np.ndarray:
     """One more number than bytes; see substrings()."""
     up, _ = tables.upto(len(data))
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
+    np.cumsum(tables.byte[data] * up, out=out[1:])
     return out
 
 

@@ -1,95 +1,258 @@
-"""Removal of every byte that a repeated 200-byte string covers.
+"""Removal of every byte that a repeated 200-byte string covers, by merging Burrows-Wheeler transforms.
 
-1. Each text's windows of ``LENGTH`` bytes are grouped into runs by content-defined anchors (see anchors.py); equal windows meet under one anchor.
-2. Runs of equal bytes collapse into one string with a weight. An anchor of one run alone has nothing repeated; a string of weight two is
-   repeated throughout.
-3. The other anchors' strings are merged by interleave refinement: their suffixes stand in one sequence, cut into intervals of equal prefixes. A step
-   takes the symbols that precede the suffixes (their Burrows-Wheeler column), partitions the sequence stably by them, which moves every suffix
-   back by one symbol (two bytes), and splits the intervals where symbols or old intervals differ; so after h steps an interval holds the suffixes with a common
-   prefix of h symbols. An interval of weight one is dropped as it arises. What is left at ``LENGTH`` bytes is repeated. Nothing is sorted anew.
-4. The covered byte ranges of each text are joined up and cut out.
+1. Each text's windows of ``LENGTH`` bytes are grouped into runs by content-defined anchors (see anchors.py); equal windows meet under one anchor. Equal runs
+   of a batch collapse into one of weight two before anything is shuffled; their texts' bytes are covered.
+2. By anchor, equal runs collapse again, into strings. An anchor of one string alone has nothing else that is repeated.
+3. The other anchors' strings are sharded by their texts. Each shard gets its own Burrows-Wheeler transform, with the common prefixes of neighbouring
+   suffixes (``Transform``). The transforms are merged by iterative interleave refinement (``merge_transforms``): the suffixes of all shards stand in one
+   sequence, each shard's in its own order, cut into intervals of equal prefixes. A step takes the symbols that precede the suffixes from the transforms' columns and
+   partitions the sequence stably by them, which moves every suffix back by one symbol; so after h steps an interval holds the suffixes with a common
+   prefix of h symbols. An interval of one shard needs no more steps, as the shard's own common prefixes tell the rest. No suffix is sorted again.
+4. The repeated intervals at ``LENGTH`` bytes, of the merged transforms and inside the shards, give byte ranges, which are joined up and cut out.
 
-The strings of all shards enter one refinement per partition of anchors; no transform of the whole corpus is ever in one place.
+An anchor with more than ``HEAVY`` strings is not merged at once: its strings are grouped anew by anchors of another order, up to ``LEVELS`` times.
+
+A transform of the whole corpus would need a shuffle of all suffixes for each step; so the merge runs side by side for sets of anchors, which share no window.
 
 Defined results: a null or empty text has nothing to remove; matches never cross texts; repeated rows are copies, so texts of 200 bytes or more
-vanish from all of them; a text is judged on the input; an empty table gives an empty result; extra columns are ignored by the report. Equal strings are
-told by 128 bits of hashes. Rows are keyed by their place in docs, so docs has to be a table read from files.
+vanish from all of them; a text is judged on the input; an empty table gives an empty result; extra columns are ignored by the report. Runs count as equal if their
+anchors, lengths, anchors' places and two unlike 64-bit hashes of their bytes are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from korpusmill.llm.anchors import LENGTH, find_runs
+from korpusmill.llm.anchors import LENGTH, Runs, Tables, find_runs
 from korpusmill.llm.arrow import slices, utf8
-from korpusmill.llm.common import batches_of, free_name, stored
-from korpusmill.llm.hashing import Powers
-from korpusmill.llm.jaccard import rows_in, whole_groups
+from korpusmill.llm.common import batches_of, drop, free_name, quoted, stored, with_row
+from korpusmill.llm.hashing import mix
+from korpusmill.llm.jaccard import whole_groups
 
 SYMBOL = 2  # bytes
 ARROW_BATCH = "8m"
-#: Windows that are refined together, about; an anchor's stay together.
-WINDOWS = 400_000
+#: Windows that are merged together, about; an anchor's stay together. Shards into which their texts are dealt.
+WINDOWS, SHARDS = 400_000, 4
+#: Strings of an anchor that are merged at once, and how often the strings of one with more are grouped anew.
+HEAVY, LEVELS = 4000, 4
+
+
+# ---- runs ----
+
+
+def same_as_before(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row equals the one before in all columns."""
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
+
+def joined(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges, sorted by text and start, with those of one text joined up where they touch."""
+    if not len(text):
+        return text, start, end
+    far = 1 + int(end.max())
+    reach = np.maximum.accumulate(text * far + end) - text * far
+    new = np.r_[True, (text[1:] != text[:-1]) | (start[1:] > reach[:-1])]
+    return text[new], start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(text) - 1]]
+
+
+def collapse(r: Runs, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One run of each kind of equal ones and its weight (up to 2); and the places of all runs that weigh 2 together but not alone."""
+    order = np.lexsort((r.content, r.check, r.anchor))
+    new = ~same_as_before(r.anchor[order], r.check[order], r.content[order])
+    kind = np.cumsum(new) - 1
+    total = np.bincount(kind, weights=weight[order])
+    return order[new], np.minimum(total, 2).astype(np.int32), order[(total[kind] >= 2) & (weight[order] < 2)]
+
+
+RUN = "anchor bigint, content bigint, check bigint, row {row}, start bigint, windows int, place int, weight int"
+
 
+def as_runs(r: Runs, rows: pa.Array, start: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """The runs of a batch as rows of RUN, equal ones collapsed. Place -1 marks ranges of covered bytes, with start and windows as their begin and length."""
+    one, total, known = collapse(r, weight)
+    order = known[np.lexsort((start[known], r.text[known]))]
+    text, begin, end = joined(r.text[order], start[order], start[order] + r.windows[order] + LENGTH - 1)
+    spread = mix(begin.astype(np.uint64) + text.astype(np.uint64) * np.uint64(LENGTH))  # anywhere: covered ranges need no meeting
+    none = np.zeros(len(text), np.int64)
+    columns = [np.concatenate(c) for c in ((r.anchor[one].view(np.int64), spread.view(np.int64)), (r.content[one].view(np.int64), none), (r.check[one].view(np.int64), none), (r.text[one], text), (start[one], begin), (r.windows[one], end - begin), (r.place[one], none - 1), (total, none + 2))]
+    kinds = [np.int64, np.int64, np.int64, None, np.int64, np.int32, np.int32, np.int32]
+    return pa.RecordBatch.from_arrays([rows.take(pa.array(c)) if k is None else pa.array(c.astype(k)) for c, k in zip(columns, kinds)], names=["anchor", "content", "check", "row", "start", "windows", "place", "weight"])
+
+
+def runs(texts: DataFrame) -> DataFrame:
+    """RUN rows of texts (row, text)."""
 
-def runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Powers()
+        tables = Tables()
         for whole in batches:
             for b in slices(whole, "text", 1 << 19):
-                rows = b.column("row").to_numpy()
                 for r in find_runs(*utf8(b.column("text")), tables):
-                    columns = (r.anchor.view(np.int64), r.check.view(np.int64), rows[r.text], r.start, r.windows.astype(np.int32), r.place.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "row", "start", "windows", "place"])
+                    yield as_runs(r, b.column("row"), r.start, np.ones(len(r.start), np.int64))
 
-    return docs.mapInArrow(run, "anchor bigint, content bigint, row bigint, start bigint, windows int, place int")
+    return texts.mapInArrow(run, RUN.format(row=texts.schema["row"].dataType.simpleString()))
 
 
-def classify(found: DataFrame) -> DataFrame:
-    """Runs that are repeated throughout (anchor null), and one run for each string of the anchors that have several, with its weight (up to 2)."""
+def regrouped(strings: DataFrame, level: int) -> DataFrame:
+    """RUN rows of strings (anchor, row, start, windows, place, weight, bytes), by anchors of another order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["anchor"]):
-            c = {k: t.column(k).to_numpy() for k in t.column_names}
-            new = np.r_[True, c["anchor"][1:] != c["anchor"][:-1]]
-            other = new | np.r_[True, c["content"][1:] != c["content"][:-1]]
-            group, string = np.cumsum(new) - 1, np.cumsum(other) - 1
-            weight = np.bincount(string)[string]
-            several = np.bincount(group[other])[group] >= 2
-            sure, mixed = np.flatnonzero(weight >= 2), np.flatnonzero(several & other)
-            take = np.concatenate([sure, mixed])
-            anchor = pa.concat_arrays([pa.nulls(len(sure), pa.int64()), pa.array(c["anchor"][mixed])])
-            yield pa.RecordBatch.from_arrays([anchor, *(pa.array(c[k][take]) for k in ("row", "start", "windows", "place")), pa.array(np.minimum(weight[take], 2).astype(np.int32))], names=["anchor", "row", "start", "windows", "place", "weight"])
-
-    return found.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(run, "anchor bigint, row bigint, start bigint, windows int, place int, weight int")
+        tables = Tables(level)
+        for whole in batches:
+            for b in slices(whole, "bytes", 1 << 19):
+                begin, weight, above = (b.column(c).to_numpy() for c in ("start", "weight", "anchor"))
+                for r in find_runs(*utf8(b.column("bytes")), tables):
+                    r.anchor = mix(r.anchor + above[r.text].view(np.uint64))  # windows of two anchors stay apart
+                    yield as_runs(r, b.column("row"), begin[r.text] + r.start, weight[r.text].astype(np.int64))
 
+    return strings.mapInArrow(run, RUN.format(row=strings.schema["row"].dataType.simpleString()))
 
-def refine(symbols: np.ndarray, ends: np.ndarray, interval: np.ndarray, weight: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Places in ends of the windows that are repeated. symbols[i] is the symbol of the bytes at i, i + 1; a window ends at ends and
-    starts in the interval that it can share with others only; interval numbers ascend from 0 in the order given."""
-    left = np.arange(len(ends))
 
-    def several(number: np.ndarray) -> np.ndarray:
-        return np.bincount(number, weights=weight[left])[number] >= 2
+def strings_of(found: DataFrame) -> DataFrame:
+    """Covered ranges (place -1), and one run for each string of the anchors that have several, with its weight (up to 2)."""
 
-    keep = several(interval)
-    left, interval = left[keep], interval[keep]
-    for step in range(1, length // SYMBOL + 1):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["anchor"]):
+            place = t.column("place").to_numpy()
+            known = np.flatnonzero(place < 0)
+            at = np.flatnonzero(place >= 0)
+            c = {k: t.column(k).to_numpy()[at] for k in t.column_names if k != "row"}
+            new = ~same_as_before(c["anchor"])
+            other = ~same_as_before(c["anchor"], c["check"], c["content"])
+            group, string = np.cumsum(new) - 1, np.cumsum(other) - 1
+            total = np.bincount(string, weights=c["weight"])
+            sure = np.flatnonzero((total[string] >= 2) & (c["weight"] < 2))
+            mixed = np.flatnonzero((np.bincount(group[other]) >= 2)[group] & other) if len(at) else at
+            take = np.concatenate([known, at[sure], at[mixed]])
+            out = t.select(["anchor", "row", "start", "windows", "place", "weight"]).take(pa.array(take)).combine_chunks()
+            n, m = len(known), len(sure)
+            size, place = out.column("windows").to_numpy().copy(), out.column("place").to_numpy().copy()
+            weight = np.concatenate([np.full(n + m, 2), np.minimum(total[string[mixed]], 2)])
+            size[n : n + m] += LENGTH - 1
+            place[n : n + m] = -1
+            yield from pa.table([out.column("anchor"), out.column("row"), out.column("start"), pa.array(size), pa.array(place), pa.array(weight.astype(np.int32))], names=["anchor", "row", "start", "windows", "place", "weight"]).to_batches()
+
+    kind = found.schema["row"].dataType.simpleString()
+    return found.repartition("anchor").sortWithinPartitions("anchor", "check", "content").mapInArrow(run, f"anchor bigint, row {kind}, start bigint, windows int, place int, weight int")
+
+
+# ---- transforms ----
+
+
+@dataclass
+class Transform:
+    """The Burrows-Wheeler transform of one shard's strings. Parallel arrays by rank, for the suffixes in order of their first 2 * DEPTH symbols (a string's end sorts
+    before all bytes): order, where the suffix starts; column, the SYMBOL bytes before it; back, the rank of the suffix that starts there;
+    common, the length of the prefix that it shares with the suffix before it (an end is a symbol too), 2 * DEPTH - 1 at most. rank is the inverse of order."""
+
+    order: np.ndarray
+    rank: np.ndarray
+    column: np.ndarray
+    back: np.ndarray
+    common: np.ndarray
+
+    DEPTH = 128
+
+    @classmethod
+    def of(cls, data: np.ndarray, ends: np.ndarray) -> Transform:
+        """data: the strings one after the other; ends: where each ends. A string's end is a suffix too, so positions count one more for each string before."""
+        text = np.ones(len(data) + len(ends), np.int64)
+        mark = np.zeros(len(text), bool)
+        mark[ends + np.arange(len(ends))] = True
+        text[~mark] = data.astype(np.int64) + 2
+        n = len(text)
+        tables, d, now = [], 1, text
+        while True:
+            tables.append((d, now))
+            if d == cls.DEPTH:
+                break
+            if d == 1:  # four symbols of nine bits at once
+                later = np.concatenate([text, np.zeros(3, np.int64)])
+                key, d = sum(later[k : k + n] << (9 * (3 - k)) for k in range(4)), 4
+            else:
+                key, d = now * (n + 1) + np.concatenate([now[d:], np.zeros(min(d, n), np.int64)])[:n], 2 * d
+            now = np.unique(key, return_inverse=True)[1] + 1
+        order = np.argsort(now * (n + 1) + np.concatenate([now[d:], np.zeros(min(d, n), np.int64)])[:n], kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        common = np.zeros(n, np.int64)
+        for depth, table in [(d, t) for d, t in reversed(tables) for _ in range(3 if d == 1 else 1)]:
+            wide = np.concatenate([table, np.zeros(2 * cls.DEPTH, np.int64)])
+            a, b = order[1:] + common[1:], order[:-1] + common[1:]
+            common[1:] += np.where((wide[a] == wide[b]) & (wide[a] > 0), depth, 0)
+        before = order - SYMBOL
+        wide = np.concatenate([text, np.zeros(SYMBOL, np.int64)])
+        column = (np.maximum(wide[before], 2) - 2) << 8 | (np.maximum(wide[before + 1], 2) - 2)
+        return cls(order, rank, column.astype(np.uint16), rank[before], common)
+
+    def repeated(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Which of the suffixes at starts have a prefix of this length in common with another of them."""
+        chosen = np.zeros(len(self.order), bool)
+        chosen[self.rank[starts]] = True
+        interval = np.cumsum(self.common < length) - 1
+        many = np.bincount(interval, weights=chosen) >= 2
+        return many[interval[self.rank[starts]]]
+
+
+def merge_transforms(shards: list[Transform], rank: np.ndarray, shard: np.ndarray, interval: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Interleave refinement. Elements are windows: rank and shard of the suffix at each one's end, and the interval outside which it has no equal. Returns
+    which windows have equals in another shard, that is, whose intervals after all steps hold several shards."""
+    base = np.cumsum([0] + [len(s.order) for s in shards])
+    column = np.concatenate([s.column for s in shards])
+    back = np.concatenate([s.back + b for s, b in zip(shards, base)])
+    out = np.zeros(len(rank), bool)
+    left = np.lexsort((rank, shard, interval))  # the shards one after the other, each in its own order
+    now, cut = rank[left] + base[shard[left]], ~same_as_before(interval[left])
+    for step in range(length // SYMBOL + 1):
+        if step:
+            symbol = column[now]
+            order = np.argsort(symbol, kind="stable")
+            symbol, number = symbol[order], number[order]
+            left, now = left[order], back[now[order]]
+            cut = ~same_as_before(symbol, number)
+        number = np.cumsum(cut) - 1
+        of = shard[left]
+        first = np.flatnonzero(cut)
+        mixed = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first) if len(first) else np.zeros(0, bool)
+        keep = mixed[number] if len(first) else mixed
+        left, now, number = left[keep], now[keep], number[keep]
         if not len(left):
             break
-        column = symbols[ends[left] - SYMBOL * step]
-        order = np.argsort(column, kind="stable")
-        column, left, interval = column[order], left[order], interval[order]
-        cut = np.r_[False, (column[1:] != column[:-1]) | (interval[1:] != interval[:-1])]
-        interval = np.cumsum(cut)
-        keep = several(interval)
-        left, interval = left[keep], interval[keep]
-    return left
+    out[left] = True
+    return out
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, shard: np.ndarray, interval: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which windows have an equal one. windows[i] start at each string's first bytes; shard is by string, interval by window, in order of string and start."""
+    string = np.repeat(np.arange(len(windows)), windows)
+    nth = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hit = np.zeros(len(string), bool)
+    numbers, of = np.unique(shard, return_inverse=True)
+    transforms, rank = [], np.zeros(len(string), np.int64)
+    for k in range(len(numbers)):
+        mine = np.flatnonzero(of == k)
+        size = np.diff(offsets)[mine]
+        own = Transform.of(np.concatenate([data[offsets[s] : offsets[s + 1]] for s in mine]), np.cumsum(size))
+        begin = np.zeros(len(windows), np.int64)
+        begin[mine] = np.cumsum(size) - size + np.arange(len(mine))
+        at = np.flatnonzero(of[string] == k)
+        start = begin[string[at]] + nth[at]
+        hit[at] = own.repeated(start, length)
+        rank[at] = own.rank[start + length]
+        transforms.append(own)
+    if len(transforms) > 1:
+        hit |= merge_transforms(transforms, rank, of[string], interval, length)
+    return hit
 
 
 def merge(strings: DataFrame) -> DataFrame:
@@ -107,36 +270,48 @@ def merge(strings: DataFrame) -> DataFrame:
                 at = to
 
     def part(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t.column(k).to_numpy().astype(np.int64) for k in ("anchor", "row", "start", "windows", "place", "weight")}
+        c = {k: t.column(k).to_numpy().astype(np.int64) for k in ("anchor", "start", "windows", "place", "weight", "shard")}
         data, offsets = utf8(t.column("bytes"))
-        symbols = (data[:-1].astype(np.uint16) << 8) | data[1:]
-        string = np.repeat(np.arange(len(c["row"])), c["windows"])
+        string = np.repeat(np.arange(len(c["start"])), c["windows"])
         nth = np.arange(len(string)) - np.repeat(np.cumsum(c["windows"]) - c["windows"], c["windows"])
-        group = np.cumsum(np.r_[False, c["anchor"][1:] != c["anchor"][:-1]])
-        shared = group[string] * LENGTH + c["place"][string] - nth  # equal windows have their anchor at one place
-        order = np.argsort(shared, kind="stable")
-        interval = np.cumsum(np.r_[False, shared[order][1:] != shared[order][:-1]])
-        hit = np.sort(order[refine(symbols, (offsets[string] + nth + LENGTH)[order], interval, np.minimum(c["weight"], 2)[string][order])])
-        hit = hit[c["weight"][string[hit]] < 2]  # the others are known already
-        first = np.r_[True, (hit[1:] != hit[:-1] + 1) | (string[hit][1:] != string[hit][:-1])][: len(hit)]
-        a = hit[first]
-        n = np.diff(np.r_[np.flatnonzero(first), len(hit)])
-        return pa.RecordBatch.from_arrays([pa.array(c["row"][string[a]]), pa.array(c["start"][string[a]] + nth[a]), pa.array(n + LENGTH - 1)], names=["row", "start", "length"])
+        group = np.cumsum(~same_as_before(c["anchor"])) - 1
+        interval = group[string] * LENGTH + c["place"][string] - nth  # equal windows have their anchor at one place
+        hit = np.flatnonzero(repeated_windows(data, offsets, c["windows"], c["shard"], interval) & (c["weight"][string] < 2))  # the others are known already
+        text, begin, end = joined(string[hit], nth[hit], nth[hit] + LENGTH)
+        return pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(pa.array(text)), pa.array(c["start"][text] + begin), pa.array(end - begin)], names=["row", "start", "length"])
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "row bigint, start bigint, length bigint")
+    kind = strings.schema["row"].dataType.simpleString()
+    sharded = strings.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(SHARDS)).cast("int"))
+    return sharded.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"row {kind}, start bigint, length bigint")
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """row and ranges (sorted array of start, end) of the covered bytes of texts (row, text binary), stored."""
     with batches_of(texts.sparkSession, ARROW_BATCH):
-        known = stored(classify(runs(texts)))
-        open_runs = known.where("anchor is not null")
-        rows = stored(open_runs.select("row").distinct())
-        with_text = rows_in(texts, rows).join(open_runs, "row")
-        strings = with_text.select("anchor", "row", "start", "windows", "place", "weight", F.expr(f"substring(text, cast(start + 1 as int), windows + {LENGTH - 1})").alias("bytes"))
-        sure = known.where("anchor is null").select("row", "start", (F.col("windows") + LENGTH - 1).cast("bigint").alias("length"))
-        ranges = sure.unionByName(merge(strings)).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("ranges"))
-        return stored(ranges)
+        found, tables, covered = runs(texts), [], []
+        for level in range(1, LEVELS + 2):
+            known = stored(strings_of(found))
+            tables.append(known)
+            covered.append(known.where("place < 0").select("row", "start", F.col("windows").cast("bigint").alias("length")))
+            open_runs = known.where("place >= 0")
+            rows = stored(open_runs.select("row").distinct())
+            with_text = texts.join(rows, "row", "left_semi").join(open_runs, "row")
+            strings = with_text.select("anchor", "row", "start", "windows", "place", "weight", F.expr(f"substring(text, cast(start + 1 as int), windows + {LENGTH - 1})").alias("bytes"))
+            heavy = open_runs.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor")
+            tables.append(rows)
+            if level > LEVELS or heavy.isEmpty():
+                covered.append(merge(strings))
+                break
+            heavy = stored(heavy)
+            tables.append(heavy)
+            covered.append(merge(strings.join(heavy, "anchor", "left_anti")))
+            found = regrouped(strings.join(heavy, "anchor", "left_semi"), level)
+        every = covered[0]
+        for c in covered[1:]:
+            every = every.unionByName(c)
+        out = stored(every.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("ranges")))
+        drop(*tables)
+        return out
 
 
 def cut_out(text: bytes, ranges: list[dict]) -> tuple[bytes, int, int]:
@@ -150,14 +325,13 @@ def cut_out(text: bytes, ranges: list[dict]) -> tuple[bytes, int, int]:
 
 
 def strip_repeats(docs: DataFrame, valid: bool = False) -> DataFrame:
-    """The columns of docs, without text, and n_bytes, n_removed, n_spans, kept (binary): each text without its repeated bytes.
+    """doc (a struct of the columns of docs other than text: c0, c1, ...), n_bytes, n_removed, n_spans, kept (binary): each text without its repeated bytes.
     valid drops from kept the bytes of a character that was cut apart."""
-    row, text = free_name(docs, "row"), F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    ranges = repeated_ranges(keyed.select(F.col(row).alias("row"), text.alias("text")))
-    others = [c for c in docs.columns if c != "text"]
-    packed = keyed.select(F.col(row).alias("row"), F.struct(*others, F.lit(0).alias("_")).alias("doc"), text.alias("text"))
-    rows = stored(ranges.select("row"))
+    name, text = free_name(docs, "row"), F.coalesce("text", F.lit("")).cast("binary")
+    keyed = with_row(docs, name)
+    ranges = repeated_ranges(keyed.select(F.col(name).alias("row"), text.alias("text")))
+    others = [F.col(q).alias(f"c{i}") for i, q in enumerate(quoted([c for c in docs.columns if c != "text"]))]
+    packed = keyed.select(F.col(name).alias("row"), F.struct(*others, F.lit(0).alias("none")).alias("doc"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,21 +341,21 @@ def strip_repeats(docs: DataFrame, valid: bool = False) -> DataFrame:
                     found = [(k.decode("utf-8", "ignore").encode(), *counts) for k, *counts in found]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.diff(utf8(b.column("text"))[1])), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = packed.schema["doc"].dataType.simpleString()
-    hit = rows_in(packed, rows).join(ranges, "row").select("doc", "text", "ranges").mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    hit = packed.join(ranges, "row").select("doc", "text", "ranges")
+    schema = T.StructType([packed.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     none = F.lit(0).cast("bigint")
-    rest = packed.join(F.broadcast(rows) if rows.count() <= 4_000_000 else rows, "row", "left_anti").select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
-    return hit.unionByName(rest).select(*[F.col("doc")[c].alias(c) for c in others], "n_bytes", "n_removed", "n_spans", "kept")
+    rest = packed.join(ranges.select("row"), "row", "left_anti").select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
+    return hit.mapInArrow(run, schema).unionByName(rest)
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    return strip_repeats(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return strip_repeats(docs.select("doc_id", "text")).select(F.col("doc.c0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the kept bytes as their text (a character that is cut apart goes) and n_chars to match."""
     text = F.col("kept").cast("string")
-    swap = {"text": text.alias("text")} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {})
-    held = docs.select(F.struct(*[c for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("held"), "text")
-    return strip_repeats(held, valid=True).select(*[swap[c] if c in swap else F.col("held")[c].alias(c) for c in docs.columns])
+    swap = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    others = [c for c in docs.columns if c != "text"]
+    return strip_repeats(docs, valid=True).select(*[(swap[c] if c in swap else F.col("doc")[f"c{others.index(c)}"]).alias(c) for c in docs.columns])

@@ -80,19 +80,32 @@ def test_suffix_dedup_keeps_clashing_columns(written, tmp_path):
     assert out.columns == docs.columns and out.select("kept", "n_bytes", "held", "row").distinct().collect() == [(1, 2, 3, 4)]
 
 
-def test_refinement_finds_equal_windows():
+@pytest.mark.parametrize("shards", [1, 2, 5])
+def test_merged_transforms_find_equal_windows(shards):
     r = np.random.default_rng(1)
-    data = r.integers(0, 2, 400).astype(np.uint8)
-    ends = np.arange(8, 401)
-    sym = (data[:-1].astype(np.uint16) << 8) | data[1:]
-    got = set(suffix_dedup.refine(sym, ends, np.zeros(len(ends), int), np.ones(len(ends)), 8).tolist())
-    c = Counter(data[i : i + 8].tobytes() for i in range(393))
-    assert got == {i for i in range(393) if c[data[i : i + 8].tobytes()] > 1}
+    strings = [bytes(r.integers(97, 99, n).astype(np.uint8)) for n in (300, 12, 8, 90, 40)]
+    strings.append(strings[0][17:80])
+    windows = np.array([len(s) - 7 for s in strings])
+    offsets = np.cumsum([0] + [len(s) for s in strings])
+    got = suffix_dedup.repeated_windows(np.frombuffer(b"".join(strings), np.uint8), offsets, windows, np.arange(6) % shards, np.zeros(windows.sum(), int), 8)
+    every = [s[i : i + 8] for s in strings for i in range(len(s) - 7)]
+    assert got.tolist() == [Counter(every)[x] > 1 for x in every]
+
+
+def test_a_transform_is_sorted_and_knows_common_prefixes():
+    strings = [b"abracadabra", b"", b"abra" * 100, b"cad"]
+    t = suffix_dedup.Transform.of(np.frombuffer(b"".join(strings), np.uint8), np.cumsum([len(s) for s in strings]))
+    text = [x for s in strings for x in (*(c + 2 for c in s), 1)]
+    suffix = [text[i : i + 256] for i in t.order]
+    assert suffix == sorted(suffix)
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert t.common[1:].tolist() == [min(shared(a, b), 255) for a, b in zip(suffix, suffix[1:])]
+    assert all(t.column[r] == (text[p - 2] - 2) << 8 | text[p - 1] - 2 for r, p in enumerate(t.order.tolist()) if p > 1 and text[p - 2] > 1 and text[p - 1] > 1)
 
 
 def test_long_texts_have_the_runs_of_their_parts(monkeypatch):
     data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
-    cover = lambda: sorted(i for r in anchors.find_runs(data, np.array([0, 5000]), anchors.Powers()) for s, n in zip(r.start, r.windows) for i in range(s, s + n))
+    cover = lambda: sorted(i for r in anchors.find_runs(data, np.array([0, 5000]), anchors.Tables()) for s, n in zip(r.start, r.windows) for i in range(s, s + n))
     whole = cover()
     monkeypatch.setattr(anchors, "MOST", 700)
     assert cover() == whole == list(range(4801))
