@@ -2,33 +2,40 @@
 
 1. Each whole text becomes a sorted array of shingle hashes. Equal sets form a class; only classes are compared.
 2. Two sets that link share a shingle among the first quarter (plus one) of each, in any one order of all shingles. The order puts the shingles that
-   many documents share last (counted over all documents, per batch; it decides speed, not results), then goes by hash. A tile is the classes that share such a shingle, in
-   order of their size; only sizes within 0.75 of one another meet.
-3. A tile of up to ``SMALL`` classes gives all its pairs. A larger one gives the pairs of a few classes (hubs) with all others of their size
-   band first; then those of more hubs with classes of other components; and at last all pairs between different components, block by block.
-4. Every pair is bounded from above by hashed bitmaps: a bit set on one side only is a shingle the other lacks. Pairs within the bound are decided by exact
-   intersection of the sorted arrays.
-5. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
+   many documents share last (counted over all documents, per batch; it decides speed, not results), then goes by hash. A tile is the classes that share such
+   a shingle; only sizes within 0.75 of one another meet.
+3. A tile of up to ``SMALL`` classes gives all its pairs, and how many tiles each pair shares: what two sets have in common beyond their prefixes is
+   at most the rest of the larger, so a pair that shares too few tiles is out before anything else of it is read.
+4. Larger tiles are cut into size bands (a factor of 4/3 each; two sets that link are in one band or in neighbours) and carry hashed bitmaps. The pairs
+   of a tile (key, band) are bounded from above inside its task: a bit set on one side only is a shingle that the other lacks. Blocks of a tile meet
+   two by two, in tasks of their own. Of each class ``LIMIT`` pairs with classes before it come first, from the first of its tiles, then from all tiles that
+   still hold several components; those that held more pairs give eight times as many each time, until none is left over.
+5. Pairs within the bound are decided by exact intersection of the sorted arrays: first one of each class, then those that still join two components.
+6. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
    links between them change nothing, so none is lost by leaving them out.
 
+Keys of the shingles that go last are salted before the first shuffle, and a tile that grows beyond ``SMALL`` is passed on as it is read, so that no task holds a
+tile. Consumed tables are deleted on the way.
+
 Defined results: a null or empty text, or one without words, has no shingles and is alone; a null doc_id is never a component's id
 unless all are null; repeated rows are copies; an empty table gives an empty result; extra columns are ignored. Classes are
-told apart by 64 bits of a hash of their set, shingles by 64 bits of theirs. Rows are keyed by their place in docs, so docs has to be a
-table read from files.
+told apart by 64 bits of a hash of their set, shingles by 64 bits of theirs.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.llm.arrow import give_back, slices, utf8
-from korpusmill.llm.common import batches_of, free_name, stored
+from korpusmill.llm.common import batches_of, drop, free_name, quoted, stored, with_row
 from korpusmill.llm.components import connected
 from korpusmill.llm.hashing import Powers
 from korpusmill.llm.shingles import shingle_sets
@@ -36,15 +43,15 @@ from korpusmill.llm.shingles import shingle_sets
 #: Similarity in hundredths.
 ALIKE = 75
 SMALL = 32
-#: Classes of a larger tile's size band that are compared with all others of the band before anything else; and the numbers that are compared with
-#: those that aren't joined up yet, round by round.
-FIRST_HUBS, HUBS = 1, (4, 16)
-BLOCK = 2000
-#: Shingles that go last in the order, at most (400 KB for each worker).
-HOT = 50_000
+#: Pairs of a class that a tile gives at first, and by how much more each time.
+LIMIT, MORE = 2, 8
+#: Members of a block, and bytes of its bitmaps, at most about.
+BLOCK, BLOCK_BYTES = 2000, 16 << 20
+#: Bitmaps that are compared with one at a time.
+AT_ONCE = 512
+#: Shingles that go last in the order, at most (400 KB for each worker). The rows of those that this many documents share are dealt into so many parts.
+HOT, WIDELY, SALTS = 50_000, 1000, 64
 BATCH_BYTES, ARROW_BATCH = 2 << 20, "8m"
-#: Rows of one long up to which a list of rows is broadcast (32 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 4_000_000
 
 
 def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -86,38 +93,31 @@ def class_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def describe(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n, class, bits) of each document, and (key, times) of the shingles that documents of one batch share."""
+def describe(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, class, bits) of each row of keyed (row, doc_id, text), stored; and (key, times) of the shingles that documents of one batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
         for whole in batches:
             for b in slices(whole, "text", BATCH_BYTES):
                 found = sets_of(b, tables)
-                n = np.array([len(s) for s in found], np.int64)
-                ids = pa.array([class_of(s) if len(s) else None for s in found], pa.int64())
-                bits = pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())
                 every = np.sort(np.concatenate(found))
                 same = every[1:] == every[:-1]
                 key, times = np.unique(every[1:][same], return_counts=True)
-                more = len(key)
-                none = lambda kind: pa.nulls(more, kind)  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([x, y]) for x, y in ((b.column("row"), none(pa.int64())), (b.column("doc_id"), none(b.column("doc_id").type)), (pa.array(n), none(pa.int64())), (ids, none(pa.int64())), (bits, none(pa.binary())), (pa.nulls(len(found), pa.int64()), pa.array(key.view(np.int64))), (pa.nulls(len(found), pa.int64()), pa.array(times + 1)))],
-                    names=["row", "doc_id", "n", "class", "bits", "key", "times"],
-                )
+                none = lambda kind: pa.nulls(len(key), kind)  # noqa: B023,E731
+                mine = [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())]
+                shared = [pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(x)]) for x in (key.view(np.int64), times + 1)]
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, none(x.type)]) for x in mine), *shared], names=["row", "doc_id", "n", "class", "bits", "key", "times"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    both = stored(keyed(docs).mapInArrow(run, f"row bigint, doc_id {kind}, n bigint, class bigint, bits binary, key bigint, times bigint"))
-    return both.where("row is not null").drop("key", "times"), both.where("row is null").select("key", "times")
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    both = stored(keyed.select("row", "doc_id", "text").mapInArrow(run, f"row {kinds['row']}, doc_id {kinds['doc_id']}, n bigint, class bigint, bits binary, key bigint, times bigint"))
+    described = both.where("row is not null").drop("key", "times")
+    described._stored_at = both._stored_at
+    return described, both.where("row is null").select("key", "times")
 
 
-def hot_shingles(shared: DataFrame, most: int = HOT) -> np.ndarray:
-    """The most widely shared shingles, sorted: of whole count buckets of 10 % width, so nothing has to be sorted on the way."""
+def hot_shingles(shared: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """The most widely shared shingles, sorted, and which of them WIDELY documents share: of whole count buckets of 10 % width, so nothing has to be sorted on the way."""
     total = stored(shared.groupBy("key").agg(F.sum("times").alias("times")).where("times >= 8"))
     bucket = F.floor(F.log(F.col("times").cast("double")) / float(np.log(1.1)))
     room, least = most, None
@@ -125,8 +125,11 @@ def hot_shingles(shared: DataFrame, most: int = HOT) -> np.ndarray:
         if n > room:
             break
         room, least = room - n, b
-    rows = total.where(bucket >= least).select("key").collect() if least is not None else []
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    rows = total.where(bucket >= least).collect() if least is not None else []
+    drop(total)
+    key, times = np.array([r["key"] for r in rows], np.int64).view(np.uint64), np.array([r["times"] for r in rows], np.int64)
+    order = np.argsort(key)
+    return key[order], times[order] >= WIDELY
 
 
 def is_in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -135,13 +138,13 @@ def is_in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """key, class, n: for each class the shingles of which a linked class shares one. A task gives a class once."""
-    spark = docs.sparkSession
+def prefixes(keyed: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, salt, class, n: for each class the shingles of which a linked class shares one. A task gives a class once. Widely shared ones have a salt above 0."""
+    spark = keyed.sparkSession
     shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, last, seen = Powers(), shared.value, set()
+        tables, (last, widely), seen = Powers(), shared.value, set()
         for whole in batches:
             for b in slices(whole, "text", BATCH_BYTES):
                 found = []
@@ -155,14 +158,23 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     continue
                 late = is_in(np.concatenate([s for s, _ in found]), last)
                 edges = np.cumsum([0] + [len(s) for s, _ in found])
-                keys = []
-                for (s, _), x, y in zip(found, edges[:-1].tolist(), edges[1:].tolist()):
+                keys, salts = [], []
+                for (s, c), x, y in zip(found, edges[:-1].tolist(), edges[1:].tolist()):
                     p, mask = len(s) // 4 + 1, late[x:y]
-                    keys.append(s[:p] if not mask[:p].any() else np.concatenate([s[~mask], s[mask]])[:p])
+                    if mask[:p].any():
+                        cold, warm = s[~mask][:p], s[mask]
+                        warm = warm[: p - len(cold)]
+                        s = np.concatenate([cold, warm])
+                        salts.append(np.concatenate([np.zeros(len(cold), np.int64), np.where(widely[np.searchsorted(last, warm)], 1 + c % SALTS, 0)]))
+                    else:
+                        s = s[:p]
+                        salts.append(np.zeros(p, np.int64))
+                    keys.append(s)
                 n = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([c for _, c in found], np.int64), n)), pa.array(np.repeat(np.diff(edges).astype(np.int32), n))], names=["key", "class", "n"])
+                columns = (np.concatenate(keys).view(np.int64), np.concatenate(salts).astype(np.int32), np.repeat(np.array([c for _, c in found], np.int64), n), np.repeat(np.diff(edges).astype(np.int32), n))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "salt", "class", "n"])
 
-    return keyed(docs).select("text").mapInArrow(run, "key bigint, class bigint, n int")
+    return keyed.select("text").mapInArrow(run, "key bigint, salt int, class bigint, n int")
 
 
 # ---- tiles ----
@@ -195,140 +207,148 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[p
     give_back()
 
 
-def distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.concatenate(a), np.concatenate(b)
-    low, high = np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return low[new], high[new]
-
-
-def bands(n: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """Stretches of the ascending sizes n[begin:end] within 0.75 of their first."""
-    while begin < end:
-        stop = begin + int(np.searchsorted(ALIKE * n[begin:end], 100 * n[begin], "right"))
-        yield begin, stop
-        begin = stop
+def distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, where each occurs first, and how often."""
+    x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+    return x[first], y[first], order[first], np.diff(np.r_[first, len(x)])
 
 
 def tile_pairs(rows: DataFrame) -> DataFrame:
-    """a, b (key null): candidate pairs; and key, a, n (b null): members of the tiles whose pairs aren't all among them."""
+    """a, b, na, nb, times (key null): pairs of tiles of up to SMALL classes, a < b, and in how many of a batch's tiles they are; and key, a, na (b null): the members of
+    the larger tiles. Of a tile that goes on in the next batch no more than SMALL rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key"]):
-            key, cls, n = (t.column(c).to_numpy() for c in ("key", "class", "n"))
-            keep = np.ones(len(key), bool)
-            keep[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls, n = key[keep], cls[keep], n[keep].astype(np.int64)
-            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held, large = [np.zeros(0, np.int64)] * 4, None
+        for b in chain(batches, [None]):
+            t = held if b is None else [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("key", "salt", "class", "n"))]
+            if large:  # what is known of the last tile stays true of its further rows
+                again = (t[0] == large[0]) & (t[1] == large[1]) & (t[2] == large[2])
+                t = [x[~again] for x in t]
+            if not len(t[0]):
+                continue
+            new = np.r_[True, (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])]
+            once = new | np.r_[True, t[2][1:] != t[2][:-1]]
+            new, (key, salt, cls, n) = new[once], [x[once] for x in t]
+            begin = np.flatnonzero(new)
             size = np.diff(np.r_[begin, len(key)])
-            many = np.repeat(size, size)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            big = many > SMALL
+            big = (size > SMALL) | (salt[begin] > 0)
+            if large and (key[0], salt[0]) == large[:2]:
+                big[0] = True
+            held, large = [np.zeros(0, np.int64)] * 4, None
+            big = np.repeat(big, size)
+            if b is not None:
+                if big[-1]:
+                    large = (key[-1], salt[-1], cls[-1])
+                else:
+                    held = [x[begin[-1] :] for x in (key, salt, cls, n)]
+                    key, salt, cls, n, big = (x[: begin[-1]] for x in (key, salt, cls, n, big))
+            left, right, least, most = [], [], [], []
             k, c, m = key[~big], cls[~big], n[~big]
             for d in range(1, SMALL):
-                same = np.flatnonzero((k[d:] == k[:-d])) if len(k) > d else []
+                same = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else []
                 if not len(same):
                     break
-                fit = same[100 * m[same] >= ALIKE * m[same + d]]
-                left.append(c[fit])
-                right.append(c[fit + d])
-            for i in np.flatnonzero(size > SMALL):
-                for x, y in bands(n, begin[i], begin[i] + size[i]):
-                    band = cls[x:y]
-                    for hub in np.sort(band)[:FIRST_HUBS]:  # the same classes in all tiles that these members share
-                        left.append(np.full(len(band) - 1, hub))
-                        right.append(band[band != hub])
-            a, b = distinct_pairs(left, right)
-            members = np.flatnonzero(big)
+                x, y = m[same], m[same + d]
+                fit = same[100 * np.minimum(x, y) >= ALIKE * np.maximum(x, y)]
+                for out, of in ((left, c[fit]), (right, c[fit + d]), (least, m[fit]), (most, m[fit + d])):
+                    out.append(of)
+            x, y, at, times = distinct_pairs(left, right)
+            na, nb = (np.concatenate([np.zeros(0, np.int64), *z])[at] for z in (least, most))
             none = lambda q: pa.nulls(q, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(len(a)), pa.array(key[members])]), pa.concat_arrays([pa.array(a), pa.array(cls[members])]), pa.concat_arrays([pa.array(b), none(len(members))]), pa.concat_arrays([none(len(a)), pa.array(n[members])])], names=["key", "a", "b", "n"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "key bigint, a bigint, b bigint, n bigint")
-
-
-def hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
-    """a, b: pairs of hubs with classes of other components, in each size band of the tiles (key, class, n, label). Each class
-    is in its first tile only; what that leaves out is left to block_pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key"]):
-            key, cls, label = (t.column(c).to_numpy() for c in ("key", "class", "label"))
-            n = t.column("n").to_numpy().astype(np.int64)
-            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                for x, y in bands(n, i, j):
-                    if (label[x:y] == label[x]).all():
-                        continue
-                    for h in x + np.argsort(cls[x:y])[:hubs]:
-                        others = cls[x:y][label[x:y] != label[h]]
-                        left.append(np.full(len(others), cls[h]))
-                        right.append(others)
-            a, b = distinct_pairs(left, right)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    first = members.groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("label").alias("label"))
-    return first.select("key", "class", "n", "label").repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "a bigint, b bigint")
-
-
-def block_pairs(members: DataFrame) -> DataFrame:
-    """a, b: pairs of different components within the bitmap bound, of tiles (key, class, n, bits, label).
-
-    A tile goes in blocks of about BLOCK members; each two blocks meet in a task of their own. A pair comes from the first
-    tile that it shares, not from all.
-    """
-    count = members.groupBy("key").agg(F.count("*").alias("_count"))
-    blocks = F.ceil(F.col("_count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int")
-    dealt = members.join(count, "key").withColumn("_blocks", blocks).withColumn("own", own)
-    dealt = dealt.join(dealt.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys")), "class")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", F.col("n").cast("bigint").alias("n"), "bits", "label", "keys")
+            p, q = len(x), int(big.sum())
+            columns = [pa.concat_arrays([none(p), pa.array(key[big])]), *(pa.concat_arrays([pa.array(v), pa.array(w) if w is not None else none(q)]) for v, w in ((x, cls[big]), (y, None), (na, n[big]), (nb, None), (times.astype(np.int64), None)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "na", "nb", "times"])
+        give_back()
+
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "class").mapInArrow(run, "key bigint, a bigint, b bigint, na bigint, nb bigint, times bigint")
+
+
+def least_common(na: Column, nb: Column) -> Column:
+    """needed() of columns."""
+    return F.ceil(ALIKE * (na + nb) / (100 + ALIKE))
+
+
+def often_enough(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough tiles, of pairs (a, b, na, nb, times): beyond the tiles of up to SMALL classes, two classes may share the larger
+    ones of the one that has fewer, and beyond the prefixes the longer of the two rests."""
+    each = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("times").alias("times"))
+    rest = lambda n: F.col(n) - F.floor(F.col(n) / 4) - 1
+    room = F.col("times") + F.greatest(rest("na"), rest("nb"), F.lit(0))
+    more = members.groupBy("class").agg(F.count("*").alias("more"))
+    at = lambda c: more.select(F.col("class").alias(c), F.col("more").alias(f"more_{c}"))
+    both = each.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return both.where(room + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= least_common(F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def dealt_tiles(members: DataFrame) -> DataFrame:
+    """The members (key, class, n, label, probe) by tile (key, band), a class in its own band and, as high, in the one below; and there by blocks i, j. Tiles of one
+    component, or without a class of their own band, have nothing to compare."""
+    own_band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / ALIKE))).cast("int")
+    each = members.withColumn("_band", own_band).withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1))).withColumn("high", F.col("band") < F.col("_band")).drop("_band")
+    sizes = each.groupBy("key", "band").agg(F.count("*").alias("_m"), F.max("n").alias("_n"), F.min("high").alias("_high"), F.min("label").alias("_least"), F.max("label").alias("_most"))
+    blocks = F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_m") * F.col("_n") / BLOCK_BYTES)).cast("int")
+    sizes = sizes.where("not _high and _least <> _most").select("key", "band", blocks.alias("_blocks"))
+    dealt = each.join(sizes, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.select("key", "band", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "high", "class", F.col("n").cast("bigint").alias("n"), "label", "probe")
+
+
+def bounded_in_tiles(dealt: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
+    """a, b: of each class that is a probe the first pairs with classes before it that are within the bitmap bound; and key, band (a null) of the tiles that hold more."""
+    by = ["key", "band", "i", "j"]
+
+    def block(t: pa.Table, x: int, y: int, c: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[list, list, bool]:
+        words = int(np.diff(offsets[x : y + 1]).min()) // 8
+        maps = np.concatenate([fold(data[offsets[r] : offsets[r + 1]].view(np.uint64)[None], words) for r in range(x, y)])
+        cls, n, label, high, own = (c[k][x:y] for k in ("class", "n", "label", "high", "own"))
+        left, right, cut = [], [], False
+        for r in np.flatnonzero(c["probe"][x:y]).tolist():
+            ok = (label[:r] != label[r]) & (100 * np.minimum(n[:r], n[r]) >= ALIKE * np.maximum(n[:r], n[r]))
+            if high[r]:
+                ok &= ~high[:r]
+            if c["i"][x] != c["j"][x]:
+                ok &= own[:r] != own[r]
+            at, got = np.flatnonzero(ok), 0
+            for k in range(0, len(at), AT_ONCE):
+                some = at[k : k + AT_ONCE]
+                fit = some[within_bound(n[some], np.full(len(some), n[r]), maps[some], np.broadcast_to(maps[r], (len(some), words)))]
+                take = fit[: limit - got]
+                left.append(cls[take])
+                right.append(np.full(len(take), cls[r]))
+                got += len(fit)
+                if got > limit or got == limit and k + AT_ONCE < len(at):
+                    cut = True
+                    break
+        return left, right, cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["key", "i", "j"]):
-            key, i, j, own, cls, n, label = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "class", "n", "label"))
-            edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        for t in whole_groups(batches, by):
+            c = {k: t.column(k).to_numpy() for k in t.column_names if k != "bits"}
+            edge = np.flatnonzero(np.r_[True, np.any([c[k][1:] != c[k][:-1] for k in by], axis=0), True])
             data, offsets = utf8(t.column("bits"))
-            lists = t.column("keys").combine_chunks()
-            every, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-            earlier = lambda r: (v := every[cuts[r] : cuts[r + 1]])[: np.searchsorted(v, key[r])]  # noqa: B023,E731
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            left, right, more = [], [], []
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                words = (np.diff(offsets[x : y + 1]) // 8).astype(int)
-                mats = {w: np.stack([data[offsets[r] : offsets[r + 1]].view(np.uint64) for r in range(x, y) if words[r - x] == w]) for w in set(words.tolist())}
-                places = {w: x + np.flatnonzero(words == w) for w in mats}
-                for r in range(x, y):
-                    mine = data[offsets[r] : offsets[r + 1]].view(np.uint64)[None]
-                    for w, rows in places.items():
-                        if not len(mine[0]) // 2 <= w <= 2 * len(mine[0]):
-                            continue
-                        ok = (label[rows] != label[r]) & (rows != r) & ((n[rows] > n[r]) | (n[rows] == n[r]) & (cls[rows] > cls[r])) & (100 * n[r] >= ALIKE * n[rows])
-                        if i[x] != j[x]:
-                            ok &= own[rows] != own[r]
-                        at = np.flatnonzero(ok)
-                        if len(at):
-                            least = min(w, mine.shape[1])
-                            fit = at[within_bound(np.full(len(at), n[r]), n[rows[at]], np.broadcast_to(fold(mine, least), (len(at), least)), fold(mats[w][at], least))]
-                            before = earlier(r)
-                            fit = [k for k in rows[fit].tolist() if not np.isin(before, earlier(k)).any()]
-                            left.append(np.full(len(fit), cls[r]))
-                            right.append(cls[fit])
-            a, b = distinct_pairs(left, right)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+                a, b, cut = block(t, x, y, c, data, offsets)
+                left += a
+                right += b
+                if cut:
+                    more.append(x)
+            a, b, _, _ = distinct_pairs(left, right)
+            none = lambda q: pa.nulls(q, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(len(a)), pa.array(c["key"][more])]), pa.concat_arrays([none(len(a)), pa.array(c["band"][more].astype(np.int64))]), pa.concat_arrays([pa.array(a), none(len(more))]), pa.concat_arrays([pa.array(b), none(len(more))])], names=["key", "band", "a", "b"])
+
+    return dealt.join(bits, "class").select(*by, "own", "high", "class", "n", "label", "probe", "bits").repartition(*by).sortWithinPartitions(*by, "class").mapInArrow(run, "key bigint, band bigint, a bigint, b bigint")
 
 
 # ---- decisions ----
 
 
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave room for a link."""
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+    side = lambda c: bits.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,13 +363,8 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a bigint, b bigint")
 
 
-def rows_in(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs whose row is in rows (row); the list is broadcast if it is short enough."""
-    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", "left_semi")
-
-
-def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that link, by exact intersection of their shingle arrays."""
+def links(keyed: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that link, by exact intersection of their shingle arrays, stored."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
@@ -368,52 +383,108 @@ def links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(int(np.count_nonzero(both[1:] == both[:-1])) >= -(-ALIKE * (len(x) + len(y)) // (100 + ALIKE)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    rows = stored(classes.join(ends, "class", "left_semi").select("row"))
-    sets = stored(rows_in(keyed(docs), rows).select("text").mapInArrow(arrays, "class bigint, shingles binary"))
+    rows = stored(rows_of(pairs, classes))
+    sets = stored(keyed.join(rows, "row", "left_semi").select("text").mapInArrow(arrays, "class bigint, shingles binary"))
     side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint"))
+    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint"))
+    drop(rows, sets)
+    return out
+
+
+def rows_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """row: one of each class in the pairs (a, b)."""
+    return classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi").select("row")
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("not coalesce(_a, a) <=> coalesce(_b, b)").select("a", "b")
+
+
+def joined_up(keyed: DataFrame, pairs: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Labels (node, label) after the pairs' decision: of each class the pair with the first class, then the pairs whose ends are still apart."""
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    for wave in (lambda: first, lambda: apart(pairs.join(first, ["a", "b"], "left_anti"), labels)):
+        todo = stored(wave())
+        if not todo.isEmpty():
+            found = links(keyed, todo, classes)
+            before = [labels.select(F.col("node").alias("a"), F.col("label").alias("b"))] if labels is not None else []
+            now = connected(functools.reduce(DataFrame.union, before, found))
+            drop(found, *([labels] if labels is not None else []))
+            labels = now
+        drop(todo)
+        if labels is None:
+            break
+    drop(first)
+    return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, class and component (the smallest class linked; null without shingles) of each document, stored."""
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, class) of each document, class null without shingles; and (class, best: the least (doc_id is null, doc_id, row) of its component). row is with_row()'s."""
     with batches_of(docs.sparkSession, ARROW_BATCH):
         return _near_duplicates(docs)
 
 
-def _near_duplicates(docs: DataFrame) -> DataFrame:
-    described, shared = describe(docs)
-    classes = stored(described.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")))
-    tiles = stored(tile_pairs(prefixes(docs, hot_shingles(shared))))
-    pairs = stored(bounded(tiles.where("b is not null").select("a", "b").distinct(), classes))
-    labels = connected(links(docs, pairs, classes))
-    members = tiles.where("b is null").select("key", F.col("a").alias("class"), "n")
-    for hubs in (*HUBS, 0) if not members.isEmpty() else ():
-        marked = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        open_tiles = marked.groupBy("key").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("key")
-        marked = stored(marked.join(open_tiles, "key", "left_semi"))
-        if marked.isEmpty():
+def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    row = free_name(docs, "row")
+    keyed = with_row(docs, row).select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    described, shared = describe(keyed)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    classes = stored(described.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min(order).alias("best")))
+    tiles = stored(tile_pairs(prefixes(keyed, hot_shingles(shared))))
+    members = stored(tiles.where("b is null").select("key", F.col("a").alias("class"), F.col("na").alias("n")))
+    pairs = stored(often_enough(tiles.where("b is not null"), members))
+    drop(tiles)
+    ends = pairs.unionByName(members.select(F.col("class").alias("a"), F.col("class").alias("b")))
+    bits = stored(described.join(rows_of(ends, classes), "row", "left_semi").select("class", "n", "bits"))
+    small = stored(bounded(pairs, bits))
+    drop(pairs)
+    first = stored(members.groupBy("class").agg(F.min("key").alias("first")))
+    labels, limit, open_tiles = None, LIMIT, None
+    for turn in count():
+        marked = members.withColumn("probe", F.lit(True))
+        if not turn:  # only tiles that are the first one of some class
+            marked = members.join(first.select(F.col("first").alias("key")).distinct(), "key", "left_semi").join(first, "class").withColumn("probe", F.col("key") == F.col("first")).drop("first")
+        if open_tiles is not None:
+            marked = marked.join(open_tiles.select("key").distinct(), "key", "left_semi")
+        if labels is not None:
+            marked = marked.join(labels.withColumnRenamed("node", "class"), "class", "left")
+        marked = marked.withColumn("label", F.col("class") if labels is None else F.coalesce("label", "class"))
+        dealt = dealt_tiles(marked)
+        if open_tiles is not None:
+            dealt = dealt.join(open_tiles, ["key", "band"], "left_semi")
+        found = stored(bounded_in_tiles(dealt, bits.select("class", "bits"), limit))
+        pairs = found.where("a is not null").select("a", "b")
+        new = stored((pairs if turn else pairs.union(small)).distinct())
+        labels = joined_up(keyed, new, classes, labels)
+        drop(new, *([open_tiles] if open_tiles is not None else [] if turn else [small, first]))
+        open_tiles = None
+        if turn:
+            open_tiles, limit = stored(found.where("a is null").select("key", F.col("band").cast("int").alias("band")).distinct()), limit * MORE
+        drop(found)
+        if turn and open_tiles.isEmpty():
             break
-        new = hub_pairs(marked, hubs) if hubs else block_pairs(marked.join(classes.select("class", "bits"), "class"))
-        more = stored(bounded(new.distinct().join(pairs, ["a", "b"], "left_anti"), classes))
-        pairs = pairs.union(more)
-        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links(docs, more, classes)))
-    named = described.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    return stored(named.select("row", "doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("label", "class").alias("component")))
+    drop(open_tiles, bits, members)
+    if labels is None:
+        return described.drop("bits"), classes.select("class", "best")
+    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "best", F.coalesce("label", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("best").alias("best"))
+    out = stored(named.drop("best").join(least, "component").select("class", "best"))
+    drop(labels, classes)
+    return described.drop("bits"), out
 
 
 def component_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    found = near_duplicates(docs)
-    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("_least"))
-    return found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    described, components = near_duplicates(docs)
+    named = described.join(components, "class", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; documents without shingles all stay."""
-    found = near_duplicates(docs).where("component is not null")
-    best = found.groupBy("component").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row"))
-    gone = stored(found.select("row").join(best.select("row"), "row", "left_anti"))
+    described, components = near_duplicates(docs)
     row = free_name(docs, "row")
-    gone = gone.withColumnRenamed("row", row)
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, row, "left_anti").select(*docs.columns)
+    gone = stored(described.join(components, "class").where("row <> best.row").select(F.col("row").alias(row)))
+    return with_row(docs, row).join(gone, row, "left_anti").select(*quoted(docs.columns))
