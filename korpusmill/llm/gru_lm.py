@@ -61,7 +61,7 @@ def softmax_gradient(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, flo
 
 
 class GruLM:
-    """Ids 0..v-1 are words in order of frequency, v is any other word; class k has the words k * per .. (k + 1) * per - 1, and the last class the others."""
+    """Ids 0..v-1 are words in order of frequency, v is any other word; class k has the words k * per .. (k + 1) * per - 1 below v, and a class of its own the others."""
 
     def __init__(self, v: int, classes: int = CLASSES, hidden: int = HIDDEN, seed: int = 3):
         r = np.random.default_rng(seed)
@@ -81,6 +81,9 @@ class GruLM:
         total = [counts[k * self.per : (k + 1) * self.per].sum() + 1.0 for k in range(self.classes)] + [others + 1.0]
         self.p["bc"][:] = np.log(np.array(total) / np.sum(total))
 
+    def class_of(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids == self.v, self.classes, ids // self.per)
+
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         d = self.hidden
         x, u = self.p["wx"][ids] + self.p["b"], h @ self.p["wh"]
@@ -91,7 +94,7 @@ class GruLM:
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log P (natural) of each id given its state; for other words, of their class."""
-        cls = np.minimum(ids // self.per, self.classes)
+        cls = self.class_of(ids)
         out = log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(ids)), cls]
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
@@ -103,7 +106,7 @@ class GruLM:
 
     def output_gradients(self, h: np.ndarray, ids: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
         """Gradient to the states, loss; adds to g."""
-        n, cls = len(ids), np.minimum(ids // self.per, self.classes)
+        n, cls = len(ids), self.class_of(ids)
         d, loss = softmax_gradient(h @ self.p["wc"] + self.p["bc"], cls)
         g["wc"] += h.T @ d
         g["bc"] += np.ones(n, d.dtype) @ d
@@ -239,18 +242,19 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """The most frequent words, at most so many, by descending count: whole count buckets of 2 % width, so nothing has to be sorted."""
+    """The most frequent words, at most so many, by descending count: whole count buckets of 2 % width, so nothing has to be sorted, and of
+    the first bucket that is too large the words whose hashes fall into a share that fits."""
     bucket = F.ceil(F.log(F.col("c").cast("double")) / float(np.log(1.02)))
     n = sorted(((r["b"], r["n"]) for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    room, least = most, None
+    room, wanted = most, F.lit(False)
     for b, k in n:
         if k > room:
+            share = int(0.9 * room / k * (1 << 30))  # a tenth less, as hashes fall unevenly
+            wanted = wanted | (bucket == b) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share)
             break
-        room, least = room - k, b
-    if least is None:
-        return []
-    rows = counts.where(bucket >= least).collect()
-    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        room, wanted = room - k, bucket >= b
+    rows = counts.where(wanted).collect()
+    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))[:most]
 
 
 def train_parts(docs: DataFrame, ids: dict[bytes, int], model: GruLM, parts: int) -> GruLM:
@@ -307,7 +311,10 @@ def train(docs: DataFrame, counts: DataFrame) -> Scorer | None:
     others = int(total["n"] - inside.sum())
     model.start_from(inside, others)
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SLICE, F.lit(1))).cast("int") + 1
-    rows = learners(docs).select(F.xxhash64("doc_id").alias("o"), "doc_id", F.substr(F.coalesce("text", F.lit("")), place, F.lit(SLICE)).alias("t")).orderBy("o", "doc_id", "t").limit(FIRST_DOCS).collect()
+    own_share = min(1.0, 1.3 * FIRST_DOCS / max(1, learners(docs).count()))
+    some = learners(docs).where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < own_share * (1 << 20))
+    pick = lambda df: df.select(F.xxhash64("doc_id").alias("o"), "doc_id", F.substr(F.coalesce("text", F.lit("")), place, F.lit(SLICE)).alias("t"))
+    rows = pick(some).orderBy("o", "doc_id", "t").limit(FIRST_DOCS).collect() or pick(learners(docs)).limit(FIRST_DOCS).collect()
     model.fit([np.array([ids.get(w, len(own)) for w in [*r["t"].encode().lower().split(), END.encode()]], np.int64) for r in rows])
     model = train_parts(docs, ids, model, max(1, round(total["n"] / PART_TOKENS)))
     return Scorer({w.encode(): c for w, c in common}, ids, model, int(total["n"]), int(total["v"]), others, int(total["v"]) - len(own))
