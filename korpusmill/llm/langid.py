@@ -2,8 +2,9 @@
 
 Bytes are embedded, filters of several widths slide over a fixed-length window, each filter keeps its maximum, and a softmax layer
 gives the languages' probabilities. A text is cut into windows over its whole length; its probabilities are the windows' mean,
-weighted by their bytes. Training takes a bounded sample of labelled rows: up to ``SAMPLE_PER_LANG`` documents for each of the
-``MAX_LANGS`` most frequent languages, chosen by a hash of doc_id, and of each a slice of ``SLICE`` characters at a hashed place.
+weighted by their bytes. Training takes a bounded sample of labelled rows: up to ``SAMPLE_PER_LANG`` documents of each language
+(fewer, but no less than ``LEAST_PER_LANG``, where the languages are so many that this came to more than ``SAMPLE``), chosen by a hash of the row's place, and of
+each a slice of ``SLICE`` characters at a hashed place. Every language that a learning row has can be predicted.
 
 Defined results: a null text, an empty one or one without any letter is ``und`` with score 0, and so is every text if no
 row is labelled; ties go to the language first in code-point order; a null doc_id is neither held out nor learned from; repeated rows are predicted
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from korpusmill.llm.arrow import slices, utf8
+from korpusmill.llm.common import free_name, quoted, with_row
 
-SAMPLE_PER_LANG, MAX_LANGS, SLICE = 800, 200, 768
+SAMPLE_PER_LANG, LEAST_PER_LANG, SAMPLE, SLICE = 800, 20, 160_000, 768
 WINDOW = 256
 WIDTHS, PER_WIDTH, DIM = (2, 3, 4, 5), 8, 8
 UNKNOWN = "und"
-#: Below this mean probability the pipeline rejects a document.
-MIN_SCORE = 0.3
+#: Below this mean probability the pipeline rejects a document; with many languages, below so many times an even share.
+MIN_SCORE, TIMES_EVEN = 0.3, 1.5
 REACH = max(WIDTHS)
 
 
@@ -133,15 +136,20 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
 
 def train(docs: DataFrame) -> ByteConvNet | None:
     """A network from the labelled rows that are not held out; None if there is none."""
-    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    row = free_name(docs, "row")
+    fit = with_row(docs, row).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\p{L}"))
+    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * SAMPLE_PER_LANG / n)))]), F.col("lang"))
+    most = min(SAMPLE_PER_LANG, max(LEAST_PER_LANG, SAMPLE // len(counts)))
+    u = F.pmod(F.xxhash64(row), F.lit(1 << 20)) / float(1 << 20)
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * most / n)))]), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SLICE, F.lit(1))).cast("int") + 1
-    order = F.xxhash64("doc_id", F.lit(2))
-    rows = fit.where(u < share).select(order.alias("o"), "lang", F.substr("text", place, F.lit(SLICE)).alias("t")).orderBy("o", "lang", "t").limit(SAMPLE_PER_LANG * len(counts)).collect()
+    drawn = fit.where(u < share).select(F.xxhash64(F.col(row), F.lit(2)).alias("o"), F.col(row).alias("row"), "lang", F.substr("text", place, F.lit(SLICE)).alias("t"))
+    best = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o", "row"))).where(F.col("nth") <= most)
+    rows = sorted(best.collect(), key=lambda r: (r["o"], r["row"]))
+    if not rows:
+        return None
     langs = sorted({r["lang"] for r in rows})
     texts = [r["t"].encode() for r in rows]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -175,6 +183,11 @@ def identify(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataF
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known with MIN_SCORE at least."""
-    found = identify(docs, train(docs), docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """The documents whose language is known well enough. Without labelled rows nothing is known of any language, and all documents stay."""
+    net = train(docs)
+    if net is None:
+        return docs
+    held = F.struct(*[F.col(q).alias(f"c{i}") for i, q in enumerate(quoted(docs.columns))])
+    found = identify(docs.select(held.alias("doc"), "text"), net, ["doc"])
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min(MIN_SCORE, TIMES_EVEN / len(net.langs)))
+    return found.where(known).select(*[F.col("doc")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
