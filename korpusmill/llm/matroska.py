@@ -2,11 +2,13 @@
 
 The reader walks EBML elements (variable-length ids and sizes, unknown sizes included), tracks, clusters, simple blocks and block
 groups with each lacing (none, Xiph, fixed, EBML), and cues. Its packet table has track, timestamp, byte range, key-frame flag and
-cluster of each frame. The writer stores bytes losslessly as 8-bit PCM at ``RATE`` samples a second: frames of ``FRAME`` bytes, up
+cluster of each frame. Frames of one lace follow each other by the track's default duration, or by their samples where the codec is PCM. Of a track with
+header stripping, the bytes to put before each packet are given. Cues lead to the cluster from which a time is read (``since``). The writer stores bytes losslessly as 8-bit PCM at ``RATE`` samples a second: frames of ``FRAME`` bytes, up
 to ``LACED`` frames a block, a cluster per ``PER_CLUSTER`` blocks, and a cue per cluster.
 
 Defined results: a null or empty text becomes 64 zero bytes; very long texts are split into clusters; repeated rows have equal
-values; an empty table gives an empty result; extra columns are ignored; a broken file raises ValueError.
+values; an empty table gives an empty result; extra columns are ignored; read() of a broken file, or of one whose packets are compressed or encrypted, raises
+ValueError, and packet_table() has one row with the error for it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ EBML, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x42
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION, ENCODINGS, ENCODING, COMPRESSION, COMPRESSION_ALGO, COMPRESSION_SETTINGS, ENCRYPTION = 0x23E383, 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+HEADER_STRIPPING = 3
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, EBML}
@@ -141,6 +145,8 @@ def number(buf: bytes, a: int, b: int) -> int:
 
 
 def floating(buf: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a float of {b - a} bytes at byte {a}")
     return struct.unpack(">f" if b - a == 4 else ">d", buf[a:b])[0] if b > a else 0.0
 
 
@@ -148,6 +154,8 @@ def lace_sizes(buf: bytes, at: int, end: int, how: int) -> tuple[list[int], int]
     """Sizes of a block's frames, and where the first begins."""
     if how == NO_LACING:
         return [end - at], at
+    if at >= end:
+        raise ValueError("a lace without its number of frames")
     n, at = buf[at] + 1, at + 1
     if how == FIXED:
         if (end - at) % n:
@@ -156,24 +164,24 @@ def lace_sizes(buf: bytes, at: int, end: int, how: int) -> tuple[list[int], int]
     sizes: list[int] = []
     while len(sizes) < n - 1:
         if how == XIPH:
-            size = 0
-            while buf[at] == 255:
-                size, at = size + 255, at + 1
-            size, at = size + buf[at], at + 1
+            stop = next((i for i in range(at, end) if buf[i] != 255), end)
+            if stop == end:
+                raise ValueError("a lace is longer than its block")
+            size, at = 255 * (stop - at) + buf[stop], stop + 1
         else:
             size, at, width = read_vint(buf, at, False)
             if sizes:
                 size = sizes[-1] + size - ((1 << (7 * width - 1)) - 1)
         sizes.append(size)
     sizes.append(end - at - sum(sizes))
-    if min(sizes) < 0:
+    if at > end or min(sizes) < 0:
         raise ValueError("a lace is longer than its block")
     return sizes, at
 
 
 @dataclass
 class Media:
-    """Packets: (track, timestamp, start, length, key frame, cluster, laced); times in ticks of scale nanoseconds."""
+    """Packets: (track, timestamp, start, length, key frame, cluster, laced); times in ticks of scale nanoseconds. Clusters: where each begins in the segment, as cues name them."""
 
     scale: int = 1_000_000
     duration: float = 0.0
@@ -195,7 +203,9 @@ def read(buf: bytes) -> Media:
 
 
 def read_segment(buf: bytes, begin: int, end: int, out: Media) -> None:
+    head = begin
     for ident, a, b in elements(buf, begin, end):
+        at, head = head - begin, b
         if ident == INFO:
             for i, x, y in elements(buf, a, b):
                 if i == TIMESTAMP_SCALE:
@@ -205,7 +215,7 @@ def read_segment(buf: bytes, begin: int, end: int, out: Media) -> None:
         elif ident == TRACKS:
             out.tracks += [read_track(buf, x, y) for i, x, y in elements(buf, a, b) if i == TRACK_ENTRY]
         elif ident == CLUSTER:
-            out.clusters.append(a)
+            out.clusters.append(at)
             read_cluster(buf, a, b, out)
         elif ident == CUES:
             for i, x, y in elements(buf, a, b):
@@ -214,7 +224,7 @@ def read_segment(buf: bytes, begin: int, end: int, out: Media) -> None:
 
 
 def read_track(buf: bytes, a: int, b: int) -> dict:
-    track: dict = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "bits": 0}
+    track: dict = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "bits": 0, "frame_ns": 0, "stripped": b""}
     for i, x, y in elements(buf, a, b):
         if i == TRACK_NUMBER:
             track["number"] = number(buf, x, y)
@@ -222,6 +232,12 @@ def read_track(buf: bytes, a: int, b: int) -> dict:
             track["type"] = number(buf, x, y)
         elif i == CODEC_ID:
             track["codec"] = buf[x:y].decode("ascii", "replace")
+        elif i == DEFAULT_DURATION:
+            track["frame_ns"] = number(buf, x, y)
+        elif i == ENCODINGS:
+            for j, u, v in elements(buf, x, y):
+                if j == ENCODING:
+                    track["stripped"] = stripped_header(buf, u, v) + track["stripped"]
         elif i == AUDIO:
             for j, u, v in elements(buf, x, y):
                 if j == SAMPLING_FREQUENCY:
@@ -233,6 +249,29 @@ def read_track(buf: bytes, a: int, b: int) -> dict:
     return track
 
 
+def stripped_header(buf: bytes, a: int, b: int) -> bytes:
+    out = b""
+    for i, x, y in elements(buf, a, b):
+        if i == ENCRYPTION:
+            raise ValueError("encrypted packets")
+        if i == COMPRESSION:
+            inner = {j: (u, v) for j, u, v in elements(buf, x, y)}
+            if COMPRESSION_ALGO not in inner or number(buf, *inner[COMPRESSION_ALGO]) != HEADER_STRIPPING:
+                raise ValueError("packets are compressed otherwise than by header stripping")
+            if COMPRESSION_SETTINGS in inner:
+                out = buf[slice(*inner[COMPRESSION_SETTINGS])]
+    return out
+
+
+def lasts(track: dict | None, n: int) -> float:
+    """Nanoseconds of a frame of n bytes; 0 if the track doesn't say."""
+    if track and track["frame_ns"]:
+        return track["frame_ns"]
+    if track and track["codec"].startswith("A_PCM") and track["bits"] >= 8 and track["rate"] > 0 and track["channels"]:
+        return n // (track["bits"] // 8 * track["channels"]) / track["rate"] * 1e9
+    return 0
+
+
 def read_cluster(buf: bytes, a: int, b: int, out: Media) -> None:
     began = 0
     for i, x, y in elements(buf, a, b):
@@ -254,9 +293,10 @@ def read_block(buf: bytes, a: int, b: int, began: int, key: bool | None, out: Me
         raise ValueError("a block without its head")
     at, flags = struct.unpack_from(">hB", buf, a)
     sizes, a = lace_sizes(buf, a + 3, b, flags >> 1 & 3)
+    of, later = next((t for t in out.tracks if t["number"] == track), None), 0.0
     for n in sizes:
-        out.packets.append((track, began + at, a, n, bool(flags & 0x80) if key is None else key, len(out.clusters) - 1, len(sizes)))
-        a += n
+        out.packets.append((track, began + at + round(later / out.scale), a, n, bool(flags & 0x80) if key is None else key, len(out.clusters) - 1, len(sizes)))
+        a, later = a + n, later + lasts(of, n + len(of["stripped"]) if of else n)
 
 
 def read_cue(buf: bytes, a: int, b: int, out: Media) -> None:
@@ -270,6 +310,13 @@ def read_cue(buf: bytes, a: int, b: int, out: Media) -> None:
     out.cues += [(time, t, p) for t, p in places]
 
 
+def since(media: Media, time: int, track: int) -> list[tuple[int, int, int, int, bool, int, int]]:
+    """The track's packets from the cluster on that the last cue at or before the time leads to; all of them without such a cue."""
+    places = [p for t, of, p in sorted(media.cues) if of == track and t <= time and p in media.clusters]
+    first = media.clusters.index(places[-1]) if places else 0
+    return [p for p in media.packets if p[0] == track and p[5] >= first]
+
+
 # ---- tables ----
 
 
@@ -316,16 +363,26 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """A row per packet of the files in (doc_id, media): packet, track, timestamp, start, length, key_frame, cluster. A null file has none."""
+    """A row per packet of the files in (doc_id, media): packet, track, timestamp, start, length, key_frame, cluster, stripped (bytes that belong before
+    those in the file) and a null error; one with an error and nothing else for a file that can't be read. A null file has none."""
+    names = ["packet", "track", "timestamp", "start", "length", "key_frame", "cluster", "stripped", "error"]
+
+    def rows(file: bytes) -> list[tuple]:
+        try:
+            m = read(file)
+        except ValueError as e:
+            return [(None,) * 8 + (str(e),)]
+        headers = {t["number"]: t["stripped"] for t in m.tracks}
+        return [(i, *p[:6], headers.get(p[0], b""), None) for i, p in enumerate(m.packets)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.binary(), pa.string()]
         for b in batches:
             for i, m in enumerate(b.column("media")):
-                found = read(m.as_py()).packets
+                found = rows(m.as_py())
                 if found:
-                    track, time, start, length, key, cluster, _ = zip(*found)
                     ids = pa.concat_arrays([b.column("doc_id").slice(i, 1)] * len(found))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int64()), *(pa.array(c, pa.int64()) for c in (track, time, start, length)), pa.array(key), pa.array(cluster, pa.int64())], names=["doc_id", "packet", "track", "timestamp", "start", "length", "key_frame", "cluster"])
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*found), kinds))], names=["doc_id", *names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.where("media is not null").select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, packet bigint, track bigint, timestamp bigint, start bigint, length bigint, key_frame boolean, cluster bigint")
+    return media.where("media is not null").select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, packet bigint, track bigint, timestamp bigint, start bigint, length bigint, key_frame boolean, cluster bigint, stripped binary, error string")
