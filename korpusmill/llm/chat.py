@@ -9,7 +9,7 @@ Template: each turn is ``<s>[role]text</s>``. Inside roles and texts ``& < [ ]``
 can hold a control string and unescaping gives the text back. The loss mask has a span per turn, in code points of the
 formatted text; only assistant spans have a length.
 
-Defined results: null text and role are empty; a null turn comes first; ties of turn are ordered by role and text, and repeated rows
+Defined results: events of a message with the same seq and text are one event that came twice, and others with the same seq are in order of their texts; null text and role are empty; a null turn comes first; ties of turn are ordered by role and text, and repeated rows
 are turns each; null conv_id is a conversation of its own; an empty table gives an empty result; extra columns are ignored.
 A conversation's formatted text is one value, so a conversation has to fit one row (2 GB), and a task holds one at a time.
 """
@@ -56,7 +56,7 @@ def fold(log: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_again"),
         F.max("seq").alias("_last"),
         F.max_by(F.coalesce("role", F.lit("")), "seq").alias("role"),
-        F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("_events"),
+        F.sort_array(F.array_distinct(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))))).alias("_events"),
     )
     kept = F.filter("_events", lambda e: F.col("_base").isNull() | (e.seq >= F.col("_base")))
     one = one.select("conv_id", "message", "role", "_again", "_last", F.array_join(F.transform(kept, lambda e: e.text), "").alias("text"))

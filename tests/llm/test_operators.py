@@ -20,9 +20,16 @@ def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
+#: Names of extra columns that operators use inside, or that select() would read as something else.
+CLASHES = ["row", "size", "copies", "score", "lang_pred", "held", "doc", "none", "kept", "n_bytes", "class", "label", "_", "c0", "a.b", "col", "position", "_metadata", "text 2"]
+
+
 def with_odd(odd_docs, spark):
+    """Odd rows and plain ones, with clashing extra columns that are null at times."""
     plain = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn("doc_id", F.col("doc_id") + 100)
-    return odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(plain)
+    both = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(plain)
+    extra = [F.when(F.col("doc_id") % 2 == 0, F.lit(c)).alias(c) for c in CLASHES]
+    return both.select("*", *extra)
 
 
 @pytest.fixture
@@ -73,13 +80,6 @@ def test_suffix_dedup_equals_brute_force(written):
     assert suffix_dedup.without_repeats(written).columns == written.columns
 
 
-def test_suffix_dedup_keeps_clashing_columns(written, tmp_path):
-    written.selectExpr("*", "1 as kept", "2 as n_bytes", "3 as held", "4 as row").write.parquet(str(tmp_path / "c"))
-    docs = written.sparkSession.read.parquet(str(tmp_path / "c"))
-    out = suffix_dedup.without_repeats(docs)
-    assert out.columns == docs.columns and out.select("kept", "n_bytes", "held", "row").distinct().collect() == [(1, 2, 3, 4)]
-
-
 @pytest.mark.parametrize("shards", [1, 2, 5])
 def test_merged_transforms_find_equal_windows(shards):
     r = np.random.default_rng(1)
@@ -281,5 +281,189 @@ def test_pipeline(spark):
     assert rows and max(r["offset"] + r["length"] for r in rows) <= 2048
 
 
+STAGES = {"language_id": langid.reject_unknown, "jaccard_join": jaccard.keep_one_each, "suffix_dedup": suffix_dedup.without_repeats, "source_mix": mixing.mix}
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_keep_columns_and_rows_whole(written, stage):
+    """Clashing columns come through with their values, and a result planned before the parallelism changes is that planned after."""
+    conf, name = written.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
+    before = conf.get(name)
+    try:
+        out = STAGES[stage](written)
+        conf.set(name, "20000b")
+        rows = out.collect()
+        again = STAGES[stage](written).collect()
+    finally:
+        conf.set(name, before)
+    key = lambda r: tuple(map(str, r))
+    assert out.columns == written.columns
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    for r in rows:
+        assert all(r[c] == (c if r["doc_id"] is not None and r["doc_id"] % 2 == 0 else None) for c in CLASHES)
+    if stage != "suffix_dedup":
+        given = {key(r) for r in written.collect()}
+        assert {key(r) for r in rows} <= given
+
+
+def test_reports_outlast_another_split(written):
+    conf, name = written.sparkSession.conf, "spark.sql.files.maxPartitionBytes"
+    before, key = conf.get(name), lambda r: tuple(map(str, r))
+    for report in (suffix_dedup.repeats_report, mixing.mix_report, jaccard.component_report):
+        want = sorted(map(key, report(written).collect()))
+        out = report(written)
+        try:
+            conf.set(name, "20000b")
+            assert sorted(map(key, out.collect())) == want
+        finally:
+            conf.set(name, before)
+
+
+def test_rejection_drops_what_has_no_language(written):
+    kept = {r["doc_id"] for r in langid.reject_unknown(written).collect()}
+    found = langid.identify(written, langid.train(written), ["doc_id"]).collect()
+    assert kept == {r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= langid.MIN_SCORE}
+    unlabelled = written.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.reject_unknown(unlabelled).count() == written.count()
+
+
+def test_language_training_takes_repeated_rows_and_rare_languages(spark):
+    rows = [(7, "same text every time", "aa")] * 2000 + [(k, "other words here", "bb") for k in (1, 2)] + [(k, f"xyz {k}", f"l{k:03}") for k in range(10, 250)]
+    learned = {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 5}
+    assert set(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == learned
+
+
+def test_convolution_and_windows_equal_loops():
+    net = langid.ByteConvNet(["a", "b", "c"])
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 5, 256, 700)]
+    best, score = langid.score_texts(net, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts]))
+    for i, x in enumerate(texts):
+        total = np.zeros(3)
+        for at in range(0, len(x), langid.WINDOW):
+            w = x[at : at + langid.WINDOW + langid.REACH - 1].ljust(langid.WINDOW + langid.REACH - 1, b"\0")
+            e = net.emb[np.frombuffer(w, np.uint8)]
+            top = np.zeros(net.conv.shape[1])
+            for f in range(len(top)):
+                width = langid.WIDTHS[f // langid.PER_WIDTH]
+                filt = net.conv[: width * langid.DIM, f].reshape(width, langid.DIM)
+                top[f] = max(0, max(float((e[j : j + width] * filt).sum()) for j in range(langid.WINDOW)) + net.bias[f])
+            s = np.exp(top @ net.out + net.out_bias)
+            total += s / s.sum() * min(langid.WINDOW, len(x) - at)
+        if x:
+            total /= len(x)
+            assert best[i] == total.argmax() and abs(score[i] - total.max()) < 1e-4
+
+
+def test_media_digests_equal_plain_ones(written):
+    texts = {}
+    for d in written.collect():
+        texts.setdefault(d["doc_id"], []).append((d["text"] or "").encode())
+    for r in matroska.text_media(written).collect():
+        x = next(x for x in texts[r["doc_id"]] if len(x) == r["n_bytes"] and hashlib.sha256(x + bytes(max(64, -(-len(x) // 64) * 64) - len(x))).hexdigest() == r["payload_sha256"])
+        padded = x + bytes(max(64, -(-len(x) // 64) * 64) - len(x))
+        stored = matroska.write(padded)
+        v = list(padded)
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(padded), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"].endswith(f"sum {sum(v)}, min {min(v)}, max {max(v)}, crossings {sum((a >= 128) != (b >= 128) for a, b in zip(v, v[1:]))}")
+
+
+def test_media_times_cues_and_errors(spark):
+    whole = matroska.write(bytes(range(256)) * 1000)
+    m = matroska.read(whole)
+    assert [p[1] for p in m.packets[:9]] == [128 * i for i in range(9)]
+    assert [p[1] for p in m.packets] == sorted(p[1] for p in m.packets)
+    later = matroska.since(m, m.cues[1][0], 1)
+    assert len(m.clusters) == 2 and {p[5] for p in later} == {1} and later[0][1] == m.cues[1][0] and matroska.since(m, 0, 1) == m.packets
+    broken = [whole[:5000], b"nothing"]
+    for how in (matroska.XIPH, matroska.FIXED, matroska.EBML_LACING):
+        for body in (b"", b"\x05a", b"\xff" * 3, b"\x02\xff\xff"):
+            with pytest.raises(ValueError):
+                matroska.lace_sizes(body, 0, len(body), how)
+    with pytest.raises(ValueError):
+        matroska.floating(b"abc", 0, 3)
+    files = spark.createDataFrame([(i, f) for i, f in enumerate([whole, *broken, None])], "doc_id long, media binary")
+    rows = matroska.packet_table(files).collect()
+    assert {r["doc_id"] for r in rows if r["error"]} == {1, 2} and sum(r["doc_id"] == 0 for r in rows) == len(m.packets)
+
+
+def test_stripped_headers():
+    e, u = matroska.element, matroska.uint
+    squeezed = lambda algo: e(matroska.TRACK_ENTRY, u(matroska.TRACK_NUMBER, 1) + u(matroska.DEFAULT_DURATION, 20_000_000) + e(matroska.ENCODINGS, e(matroska.ENCODING, e(matroska.COMPRESSION, u(matroska.COMPRESSION_ALGO, algo) + e(matroska.COMPRESSION_SETTINGS, b"head")))))
+    file = lambda algo: e(matroska.EBML, b"") + e(matroska.SEGMENT, e(matroska.TRACKS, squeezed(algo)) + e(matroska.CLUSTER, u(matroska.TIMESTAMP, 5) + matroska.block(1, 0, [b"ab", b"cd"])))
+    m = matroska.read(file(3))
+    assert m.tracks[0]["stripped"] == b"head" and [p[1] for p in m.packets] == [5, 25]
+    with pytest.raises(ValueError):
+        matroska.read(file(0))
+
+
+@pytest.mark.parametrize("v", [1, 10, 1498, 2048])
+def test_probabilities_of_all_ids_sum_to_one(v):
+    m = gru_lm.GruLM(v)
+    h = np.random.default_rng(v).normal(0, 1, (1, m.hidden)).astype(np.float32)
+    assert abs(np.exp(m.log_probs(np.repeat(h, v + 1, 0), np.arange(v + 1)).astype(float)).sum() - 1) < 1e-4
+
+
+def test_score_equals_a_plain_loop(written):
+    """The whole path's score is that of the model token by token, with the counts of other words inside their class."""
+    docs = [(d["doc_id"], [*WORD.findall(low(d["text"])), "\n"]) for d in written.collect()]
+    c = Counter(w for k, ws in docs if k is not None and zlib.crc32(str(k).encode()) % 7 != 2 for w in ws)
+    counts = gru_lm.count_tokens(written)
+    s = gru_lm.train(written, counts)
+    m, v = s.model, len(s.ids)
+    lp = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    want = []
+    for k, ws in docs:
+        h, total = np.zeros(m.hidden), 0.0
+        for w in ws:
+            i = s.ids.get(w.encode(), v)
+            g = i // m.per if i < v else m.classes
+            total += lp(h @ m.p["wc"] + m.p["bc"])[g]
+            if i < v:
+                total += lp(h @ m.p["ww"][g] + m.p["bw"][g])[i - g * m.per]
+            else:
+                total += np.log((c[w] + 1) / (s.other_tokens + s.other_distinct + 1))
+            h = m.step(np.array([i]), h[None].astype(np.float32))[0][0]
+        want.append((str(k), len(ws), total / np.log(10)))
+    rows = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in gru_lm.score_documents(written).collect())
+    for a, b in zip(rows, sorted(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * max(1, abs(b[2]))
+
+
+def test_frequent_words_fit_even_if_all_are_equally_frequent(spark):
+    counts = spark.range(1000).selectExpr("concat('w', id) word", "5L as c")
+    assert 60 <= len(gru_lm.frequent(counts, 100)) <= 100
+
+
+def test_events_that_come_twice_count_once(spark):
+    log = [(1, 1, 0, "user", "start", "a"), (1, 1, 1, "user", "delta", "b"), (1, 1, 1, "user", "delta", "b"), (1, 1, 1, "user", "delta", "a")]
+    assert chat.fold(spark.createDataFrame(log, "conv_id long, message long, seq long, role string, kind string, text string")).first()["text"] == "aab"
+
+
+def test_fast_ids_are_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.default_vocabulary())
+    slow.encode_special_tokens = True
+    fast, r = packing.encoder(packing.default_vocabulary()), np.random.default_rng(9)
+    pools = ["abc XYZ", " \t\n\r", "0123456789", "'s't're<|endoftext|>", "äßñéøčšž", "日本語中文한국어", "🙂👍🏽\u200d\u00a0\u2028", ".,;:!?-—()[]{}", "עבריתالعربية"]
+    letters = [c for p in pools for c in p]
+    for _ in range(3000):
+        own = pools[r.integers(len(pools))]
+        text = "".join(letters[r.integers(len(letters))] if r.random() < 0.3 else own[r.integers(len(own))] for _ in range(r.integers(0, 60)))
+        assert fast.encode_ordinary(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_heavy_anchors_and_big_tiles_give_the_same_rows(written, monkeypatch):
+    """Strings grouped anew, and tiles cut into small blocks with many turns, change nothing."""
+    key = lambda r: tuple(map(str, r))
+    repeats, links = (sorted(map(key, f(written).collect())) for f in (suffix_dedup.repeats_report, jaccard.component_report))
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 2)
+    assert sorted(map(key, suffix_dedup.repeats_report(written).collect())) == repeats
+    for name, value in (("SMALL", 2), ("BLOCK", 3), ("LIMIT", 1), ("WIDELY", 8)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert sorted(map(key, jaccard.component_report(written).collect())) == links
+
+
 def test_values(spark):
     assert [r["x"] for r in values(spark, "x", ["a", "b"]).collect()] == ["a", "b"]
