@@ -9,7 +9,7 @@
 4. Larger tiles are cut into size bands (a factor of 4/3 each; two sets that link are in one band or in neighbours) and carry hashed bitmaps. The pairs
    of a tile (key, band) are bounded from above inside its task: a bit set on one side only is a shingle that the other lacks. Blocks of a tile meet
    two by two, in tasks of their own. Of each class ``LIMIT`` pairs with classes before it come first, from the first of its tiles, then from all tiles that
-   still hold several components; those that held more pairs give eight times as many each time, until none is left over.
+   still hold several components; those that held more pairs give ``MORE`` times as many each time, until none is left over.
 5. Pairs within the bound are decided by exact intersection of the sorted arrays: first one of each class, then those that still join two components.
 6. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
    links between them change nothing, so none is lost by leaving them out.
@@ -44,7 +44,7 @@ from korpusmill.llm.shingles import shingle_sets
 ALIKE = 75
 SMALL = 32
 #: Pairs of a class that a tile gives at first, and by how much more each time.
-LIMIT, MORE = 2, 8
+LIMIT, MORE = 2, 64
 #: Members of a block, and bytes of its bitmaps, at most about.
 BLOCK, BLOCK_BYTES = 2000, 16 << 20
 #: Bitmaps that are compared with one at a time.
