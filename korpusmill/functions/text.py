@@ -100,3 +100,30 @@ def html_text(html: Column) -> Column:
     for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         s = F.replace(s, F.lit(code), F.lit(plain))
     return F.array_join(F.filter(F.transform(F.split(s, "\n"), F.trim), lambda x: x != ""), "\n")
+
+
+def few_newlines(text: Column) -> Column:
+    """No more than one empty line in a row."""
+    return F.regexp_replace(text, "\\n{3,}", "\n\n")
+
+
+def article_number(address: Column) -> Column:
+    """The number at the end of an article's address or identifier; null without one."""
+    return F.nullif(F.regexp_extract(address, "([0-9]+)/?$", 1), F.lit(""))
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Lower-case host and path of a url; an empty path is /."""
+    path = F.coalesce(F.nullif(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    return F.lower(F.try_parse_url(url, F.lit("HOST"))), path
+
+
+def is_operative(line: Column) -> Column:
+    """Whether a line is a heading in spaced capitals, like P R E S U D A."""
+    return F.trim(line).rlike("^(\\p{Lu}\\s+){3,}\\p{Lu}$")
+
+
+def decoded_list(value: Column) -> Column:
+    """A JSON list of strings as an array; a value that isn't one is its only item, and null or an empty text none."""
+    items = F.from_json(value, "array<string>")
+    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.coalesce(items, F.array(value)))

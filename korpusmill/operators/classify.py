@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions.text import ascii_only, squeeze
@@ -10,6 +10,11 @@ from korpusmill.functions.text import ascii_only, squeeze
 # Licence codes by strictness, and whether texts under them may be passed on.
 STRICTEST_FIRST = ["cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc-by-nc", "cc-by", "cc0"]
 
+# Words of permission, of negation and of passing a text on, in both languages.
+PERMISSION = "allowed|permitted|free to|entitled|granted|may|can|dopu[sš]t\\w*|smij\\w*|slobodno"
+NEGATION = "not|nor|cannot|nikad\\w*|ne\\s+smij\\w*"
+PASSING_ON = "re-?distribut\\w+|distribut\\w+|share|shared|sharing|copy|copies|copied|umno[zž]\\w+|dijelit\\w*|raspa[cč]\\w+"
+
 
 def redistribution(licence: Column) -> Column:
     """slobodna, uvjetna, zabranjena, or null where the text names no known licence."""
@@ -26,11 +31,15 @@ def redistribution(licence: Column) -> Column:
 
 
 def cc_marks(text: Column) -> Column:
-    """Distinct Creative Commons codes that a text names, by address or in words."""
+    """Distinct Creative Commons codes that a text names, by address or in words; without either, by the licence's full name."""
     urls = F.regexp_extract_all(text, F.lit("(?i)creativecommons\\.org/(?:licenses|publicdomain)/([a-z0-9-]+)"), 1)
     said = F.regexp_extract_all(text, F.lit("(?i)(?:\\bCC|creative commons)[\\s:,(\\[\"-]*(?:licen[cs]e[\\s:(-]*)?\\b(BY(?:[\\s-]?N[CD])*(?:[\\s-]?SA)?|ZERO|0)\\b"), 1)
     code = lambda x: F.when(x.rlike("(?i)^(0|zero)"), "cc0").otherwise(F.concat(F.lit("cc-"), F.regexp_replace(F.lower(x), "[\\s-]+", "-")))
-    return F.array_intersect(F.array_distinct(F.transform(F.concat(urls, said), code)), F.array(*[F.lit(c) for c in STRICTEST_FIRST]))
+    marks = F.concat(urls, said)
+    chain = F.regexp_extract(text, "(?iU)\\battribution((?:[\\s–-]*(?:non-?commercial|no-?deriv\\w*|share-?alike))*)", 1)
+    parts = [F.when(chain.rlike("(?i)commercial"), "nc"), F.when(chain.rlike("(?i)deriv"), "nd").when(chain.rlike("(?i)share"), "sa")]
+    full = F.when((F.size(marks) == 0) & text.rlike("(?i)creative\\s+commons") & text.rlike("(?iU)\\battribution"), F.array(F.concat_ws("-", F.lit("cc-by"), *parts))).otherwise(F.array().cast("array<string>"))
+    return F.array_intersect(F.array_distinct(F.concat(F.transform(marks, code), full)), F.array(*[F.lit(c) for c in STRICTEST_FIRST]))
 
 
 def licence_class(rights: Column) -> Column:
@@ -39,15 +48,15 @@ def licence_class(rights: Column) -> Column:
     t, marks = F.lower(text), cc_marks(text)
     strictest = F.coalesce(*[F.when(F.array_contains(marks, c), c) for c in STRICTEST_FIRST])
     # a verb of passing on, with a word of permission close before it and no negation in between
-    may = t.rlike("\\b(allowed|permitted|free to|entitled|granted|may|can)\\b(?! ?not\\b)(?:(?!\\b(not|nor|cannot)\\b).){0,70}?\\b(re-?distribut\\w+|distribut\\w+|shar(e|ed|ing)|cop(y|ies|ied))\\b")
+    may = t.rlike(f"(?U)\\b({PERMISSION})\\b(?:(?!\\b({NEGATION})\\b).){{0,66}}?\\b({PASSING_ON})\\b")
     code = (
         F.when(F.trim(text) == "", "nepoznata")
         .when(t.rlike("all rights reserved|sva prava pridr"), "sva-prava")
         .when(F.size(marks) > 0, strictest)
-        .when(t.rlike("permission of the (editor|publisher)"), "dozvola")
-        .when(t.rlike("\\b(personal|educational)\\b[^.;]{0,60}?\\b(purpose\\w*|use)\\b"), "osobno")
+        .when(t.rlike("(?U)permission of the (editor|publisher)|dozvol\\w+ ured"), "dozvola")
+        .when(t.rlike("(?U)\\b(personal|educational|osobn\\w+|obrazovn\\w+)\\b[^.;]{0,60}?\\b(purpose\\w*|use|uporab\\w+|svrh\\w+|potreb\\w+)\\b"), "osobno")
         .when(may, "proza-otvorena")
-        .when(t.rlike("\\b(can ?not|may not|must not)\\b"), "proza-ogranicena")
+        .when(t.rlike("(?U)\\b(can ?not|may not|must not)\\b|\\bnije dopu[sš]|\\bne smij"), "proza-ogranicena")
         .otherwise("nepoznata")
     )
     return F.struct(code.alias("code"), (code.startswith("cc") | (code == "proza-otvorena")).cast("int").alias("redistributable"), ((F.size(marks) > 1) & code.startswith("cc")).cast("int").alias("ambiguous"))
@@ -71,3 +80,13 @@ def signal_score(text: Column, signals: list[tuple[str, str, int]]) -> tuple[Col
 def quoted_in(quote: Column, chunk: Column) -> Column:
     """Whether a quotation stands in a chunk, white space aside."""
     return F.contains(squeeze(chunk), squeeze(quote))
+
+
+def training_set(docs: DataFrame, labels: DataFrame, least: int = 30, more_than: int = 500) -> DataFrame:
+    """doc_id, text, labels: documents (doc_id, text) longer than so many characters, with their labels (doc_id, label) that have enough examples among
+    them; documents without such a label are out."""
+    long = docs.where(F.length("text") > more_than).select("doc_id", "text")
+    pairs = labels.where("label is not null").select("doc_id", "label").distinct().join(long, "doc_id")
+    kept = pairs.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
+    own = pairs.select("doc_id", "label").join(kept, "label", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    return long.join(own, "doc_id")

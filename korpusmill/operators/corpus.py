@@ -90,3 +90,20 @@ def stratified_split(rows: DataFrame, stratum: str, id_col: str, test_share: flo
     own = Window.partitionBy("_stratum")
     place = F.row_number().over(own.orderBy(sampling_key(F.col(id_col)), id_col))
     return merged.withColumn("is_test", place <= F.ceil(F.count("*").over(own) * test_share)).drop("_stratum")
+
+
+def add_names(codes: DataFrame, names: DataFrame) -> DataFrame:
+    """A code table (id, name) with the names that it lacks, numbered on from its greatest id in order of name. Null isn't a name."""
+    new = names.where("name is not null").select("name").distinct().join(codes, "name", "left_anti")
+    last = codes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    numbered = new.agg(F.sort_array(F.collect_list("name")).alias("all")).select(F.posexplode("all").alias("at", "name"))  # new names of a code table only
+    return codes.select("id", "name").unionByName(numbered.crossJoin(last).select((F.col("at") + 1 + F.col("last")).cast(codes.schema["id"].dataType).alias("id"), "name"))
+
+
+def public_view(meta: DataFrame, bodies: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """Each record with its bodies by kind (text, meta, abstract) as columns, and with names in place of its codes (column <name>_id by table <name>)."""
+    wide = bodies.groupBy("id").agg(*[F.max(F.when(F.col("kind") == k, F.col("body"))).alias(k) for k in ("text", "meta", "abstract")])
+    out = meta.join(wide, "id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    for name, table in codes.items():
+        out = out.join(table.select(F.col("id").alias(f"{name}_id"), F.col("name").alias(name)), f"{name}_id", "left").drop(f"{name}_id")
+    return out

@@ -108,3 +108,39 @@ def by_document(hits: DataFrame, least: float, weight: float = 0.3) -> DataFrame
     """doc_id, score, passages: the best passage's score plus a bonus for the number of passages (doc_id, score) above least."""
     many = F.count_if(F.col("score") > least)
     return hits.groupBy("doc_id").agg(F.round(F.max("score") + weight * F.log1p(many), 6).alias("score"), many.alias("passages"))
+
+
+def label_report(pairs: DataFrame) -> DataFrame:
+    """label, precision, recall, f1, support of (doc_id, label, truth, predicted), and rows (micro), (macro), (weighted) and (samples). What would be divided by 0 is 0."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    sums = [F.count_if(F.col("truth") & F.col("predicted")).alias("tp"), F.count_if("predicted").alias("said"), F.count_if("truth").alias("support")]
+    scores = [ratio(F.col("tp"), F.col("said")).alias("precision"), ratio(F.col("tp"), F.col("support")).alias("recall"), ratio(2 * F.col("tp"), F.col("said") + F.col("support")).alias("f1")]
+    names = ["precision", "recall", "f1"]
+    by = pairs.groupBy("label").agg(*sums).select("label", *scores, "support")
+    micro = pairs.agg(*sums).select(F.lit("(micro)").alias("label"), *scores, "support")
+    macro = by.agg(*[F.avg(n).alias(n) for n in names], F.sum("support").alias("support")).select(F.lit("(macro)").alias("label"), *names, "support")
+    weighted = by.agg(*[ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(n) for n in names], F.sum("support").alias("support")).select(F.lit("(weighted)").alias("label"), *names, "support")
+    samples = pairs.groupBy("doc_id").agg(*sums).select(*scores, "support").agg(*[F.avg(n).alias(n) for n in names], F.sum("support").alias("support")).select(F.lit("(samples)").alias("label"), *names, "support")
+    every = by.unionByName(micro).unionByName(macro).unionByName(weighted).unionByName(samples)
+    return every.select("label", *[F.round(n, 6).alias(n) for n in names], F.col("support").cast("bigint").alias("support"))
+
+
+def gold_report(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (10, 20, 50, 100, 200)) -> DataFrame:
+    """class, size, first (the best rank of one of the class; null if none is ranked) and found_<k> for each cut, of ranked (doc_id, rank) and gold (doc_id, class)."""
+    best = ranked.groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    met = gold.join(best, "doc_id", "left")
+    return met.groupBy("class").agg(F.count("*").alias("size"), F.min("rank").cast("bigint").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"found_{k}") for k in cuts])
+
+
+def precision_at(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """distinct documents among the first k, those of the gold set, and precision."""
+    top = ranked.where(F.col("rank") <= k).select("doc_id").distinct().join(gold.select("doc_id", F.lit(True).alias("good")).distinct(), "doc_id", "left")
+    return top.agg(F.count("*").alias("documents"), F.count_if(F.coalesce("good", F.lit(False))).alias("good")).withColumn("precision", F.round(F.try_divide("good", F.lit(k)), 6))
+
+
+def reranked(hits: DataFrame, features: dict[str, float]) -> DataFrame:
+    """Hits in the order of score plus the weighted sum of their feature columns (null counts 0); ties by doc_id."""
+    total = F.col("score")
+    for name, weight in features.items():
+        total = total + weight * F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    return hits.withColumn("total", F.round(total, 9)).orderBy(F.desc("total"), "doc_id")

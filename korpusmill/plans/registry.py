@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from korpusmill.functions import text as tx
 from korpusmill.operators import article, bundle, chunking, classify, corpus, learn, match, retrieval, search
+from korpusmill.plans.indexes import asked, found
 from korpusmill.sources import records, sinks
 from korpusmill.streaming import ingest
 
@@ -58,27 +59,27 @@ WHERE ({glue.join(f'tf{i} > 0' for i in range(len(tf)))}) {where} {tail}"""
 
 @query(bm25_sql(["the", "tion"], every=False))
 def fts_bm25_topk(spark, sf):
-    return search.best(search.ranked(read(spark, sf, "documents"), [["the"], ["tion"]], every=False))
+    return asked(spark, sf, [["the"], ["tion"]], every=False)
 
 
 @query(bm25_sql(["the", "of", "er"]))
 def fts_and(spark, sf):
-    return search.best(search.ranked(read(spark, sf, "documents"), [["the"], ["of"], ["er"]]))
+    return asked(spark, sf, [["the"], ["of"], ["er"]])
 
 
 @query(bm25_sql(["der", "que"], every=False))
 def fts_or(spark, sf):
-    return search.best(search.ranked(read(spark, sf, "documents"), [["der"], ["que"]], every=False))
+    return asked(spark, sf, [["der"], ["que"]], every=False)
 
 
 @query(bm25_sql(["anan*"]))
 def fts_prefix(spark, sf):
-    return search.best(search.ranked(read(spark, sf, "documents"), [["anan*"]]))
+    return asked(spark, sf, [["anan*"]])
 
 
 @query(bm25_sql(["of the"]))
 def fts_phrase(spark, sf):
-    return search.best(search.ranked(read(spark, sf, "documents"), [["of", "the"]]))
+    return asked(spark, sf, [["of", "the"]])
 
 
 @query(bm25_sql(["src7"], scope="source", indexed="concat_ws(chr(10), source, text)"))
@@ -144,16 +145,15 @@ SELECT doc_id, round(sum(weight / (60 + rank)), 9) AS score, string_agg(label ||
 
 @query(FUSED)
 def rrf_bundle_weighted(spark, sf):
-    docs = read(spark, sf, "documents")
-    a = retrieval.ranks(search.ranked(docs, [["the"]]), "first", "bm25")
-    b = retrieval.ranks(search.ranked(docs, [["of", "the"]]), "second", "bm25", 3.0)
+    a = retrieval.ranks(found(spark, sf, [["the"]]), "first", "bm25")
+    b = retrieval.ranks(found(spark, sf, [["of", "the"]]), "second", "bm25", 3.0)
     return retrieval.fuse(a.unionByName(b))
 
 
 @query()
 def rrf_hybrid(spark, sf):
-    docs, v = read(spark, sf, "documents"), read(spark, sf, "embeddings")
-    words = retrieval.ranks(search.ranked(docs, [["the"]]), "words", "bm25")
+    v = read(spark, sf, "embeddings")
+    words = retrieval.ranks(found(spark, sf, [["the"]]), "words", "bm25")
     near = retrieval.vector_topk(v, v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 40)
     return retrieval.fuse(words.unionByName(near.select(F.col("vec_id").alias("doc_id"), "rank", F.lit("near").alias("label"), F.lit("vector").alias("branch"), F.lit(1.0).alias("weight"))))
 
@@ -523,3 +523,6 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC,
 def vector_topk_batch(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
     return retrieval.vector_topk(v, v.where("vec_id in (3, 7, 11)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
+
+
+from korpusmill.plans import extended  # noqa: E402,F401  registers its queries

@@ -146,3 +146,29 @@ def read_ids(text: str) -> list[str]:
     one = lambda x: x.get("id", x.get("doc_id")) if isinstance(x, dict) else x
     names = [str(one(x)).strip() for x in (found if isinstance(found, list) else [found]) if one(x) is not None]
     return [x for x in dict.fromkeys(names) if x]
+
+
+def refused(urls: DataFrame, rules: DataFrame, permission: str = "") -> DataFrame:
+    """The rows of urls (url) that may not be fetched: their host is among the rules (host, path: the paths that it does allow) and their path isn't, and there is no
+    token of a permission. A host without rules is free."""
+    if permission.strip():
+        return urls.limit(0)
+    host, path = tx.host_and_path(F.col("url"))
+    asked = urls.withColumn("_host", host).withColumn("_path", path)
+    allowed = rules.select(F.lower("host").alias("_host"), F.col("path").alias("_path"))
+    return asked.join(allowed.select("_host").distinct(), "_host", "left_semi").join(allowed, ["_host", "_path"], "left_anti").drop("_host", "_path")
+
+
+def gate(urls: DataFrame, rules: DataFrame, permission: str = "") -> DataFrame:
+    """urls, if all of them may be fetched; otherwise PermissionError names the first."""
+    first = refused(urls, rules, permission).agg(F.min("url").alias("u")).first()["u"]
+    if first is not None:
+        raise PermissionError(f"{first}: its host forbids the path and no permission was given")
+    return urls
+
+
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key, the first by order; rows without a key all stay."""
+    rest = [c for c in rows.columns if c != key]
+    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
+    return best.select(key, "r.*").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
