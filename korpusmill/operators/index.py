@@ -23,34 +23,32 @@ def bucket(start: Column) -> Column:
 
 
 def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, column, token, positions, bucket."""
+    """doc_id, column, token, pos, bucket: a row for each token, as it stands; a question gathers those of its terms."""
     each = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("t")) for c in columns])).alias("x"))
     spots = each.select("doc_id", "x.column", F.posexplode("x.t").alias("pos", "token"))
-    found = spots.groupBy("doc_id", "column", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return found.withColumn("bucket", bucket(F.substring("token", 1, LETTERS)))
+    return spots.withColumn("bucket", bucket(F.substring("token", 1, LETTERS)))
 
 
-def lengths(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.select("doc_id", F.size(tokens(F.concat_ws("\n", *columns))).alias("length"))
-
-
-def write(posted: DataFrame, sizes: DataFrame, folder: str) -> None:
+def write(posted: DataFrame, ids: DataFrame, folder: str) -> None:
+    """ids: doc_id of all documents, those without a token too."""
+    spark = ids.sparkSession
     # rebalanced, so that a bucket of frequent tokens is split over several files and small ones share a task
     posted.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    sizes.write.parquet(f"{folder}/lengths")
-    sizes.sparkSession.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("avg")).write.parquet(f"{folder}/figures")
+    size = spark.read.parquet(f"{folder}/postings").groupBy("doc_id").agg(F.count("*").alias("length"))
+    ids.join(size, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length")).write.parquet(f"{folder}/lengths")
+    spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("avg")).write.parquet(f"{folder}/figures")
 
 
 def build(docs: DataFrame, folder: str, columns: tuple[str, ...] = ("text",)) -> None:
     """Index the columns of docs (doc_id unique) in a new folder."""
-    write(postings(docs, list(columns)), lengths(docs, list(columns)), folder)
+    write(postings(docs, list(columns)), docs.select("doc_id"), folder)
 
 
 def update(docs: DataFrame, old: str, folder: str, columns: tuple[str, ...] = ("text",)) -> None:
     """The index in old with docs in place of what it had of their ids, in a new folder."""
     spark, ids = docs.sparkSession, docs.select("doc_id")
     kept = lambda name: spark.read.parquet(f"{old}/{name}").join(ids, "doc_id", "left_anti")
-    write(kept("postings").unionByName(postings(docs, list(columns))), kept("lengths").unionByName(lengths(docs, list(columns))), folder)
+    write(kept("postings").unionByName(postings(docs, list(columns))), kept("lengths").select("doc_id").unionByName(ids), folder)
 
 
 def search(spark: SparkSession, folder: str, phrases: list[list[str]], every: bool = True, scope: str | None = None) -> DataFrame:
@@ -64,7 +62,7 @@ def search(spark: SparkSession, folder: str, phrases: list[list[str]], every: bo
     posted = posted.where(reduce(lambda a, b: a | b, [matches(F.col("token"), t) for t in terms]))
     if scope:
         posted = posted.where(F.col("column") == scope)
-    places = lambda t, k: F.array_distinct(F.flatten(F.collect_list(F.when(matches(F.col("token"), t), F.transform("positions", lambda x: x - k)))))
+    places = lambda t, k: F.collect_set(F.when(matches(F.col("token"), t), F.col("pos") - k))
     starts = [F.size(reduce(F.array_intersect, [places(t, k) for k, t in enumerate(p)])).alias(f"tf{i}") for i, p in enumerate(phrases)]
     found = posted.groupBy("doc_id", "column").agg(*starts).groupBy("doc_id").agg(*[F.sum(f"tf{i}").alias(f"tf{i}") for i in range(len(phrases))])
     tf = [F.col(f"tf{i}") for i in range(len(phrases))]

@@ -150,7 +150,9 @@ def rrf_bundle_weighted(spark, sf):
     return retrieval.fuse(a.unionByName(b))
 
 
-@query()
+@query(f"""WITH {ranked_sql('w', bm25_sql(['the'], limit=40), 'words', 1.0)}, s AS (SELECT v.vec_id AS doc_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id = 0),
+n AS (SELECT doc_id, row_number() OVER (ORDER BY sim DESC, doc_id) AS rank, 'near' AS label, 'vector' AS branch, 1.0::DOUBLE AS weight FROM s QUALIFY rank <= 40), h AS (FROM w UNION ALL FROM n)
+SELECT doc_id, round(sum(weight / (60 + rank)), 9) AS score, string_agg(label || '/' || branch || '/' || rank, ' ' ORDER BY round(weight / (60 + rank), 9) DESC, label) AS provenance FROM h GROUP BY doc_id""")
 def rrf_hybrid(spark, sf):
     v = read(spark, sf, "embeddings")
     words = retrieval.ranks(found(spark, sf, [["the"]]), "words", "bm25")
