@@ -274,10 +274,39 @@ def test_empty_tables(spark, no_docs, tmp_path):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline_equals_its_stages(written, tmp_path):
+    """Each stage works on what its predecessor kept, and its decisions take effect: against plain Python where that can follow."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF).collect()
+    spark = written.sparkSession
+    kept = langid.reject_unknown(written).collect()
+    schema = written.schema
+    sets = lambda x: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})(WORD.findall(low(x)))
+    groups = []
+    for r in kept:
+        own = sets(r["text"])
+        near = [g for g in groups if any(own and s and 100 * len(own & s) >= 75 * len(own | s) for _, s in g)]
+        groups = [g for g in groups if g not in near] + [[(r, own), *(x for g in near for x in g)]]
+    first = [min((r for r, _ in g), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups]
+    seen = Counter(b[i : i + 200] for r in first for b in [(r["text"] or "").encode()] for i in range(len(b) - 199))
+    texts = []
+    for r in first:
+        b = (r["text"] or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        texts.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    spark.createDataFrame([tuple(x if c == "text" else len(x) if c == "n_chars" else r[c] for c in schema.names) for r, x in zip(first, texts)], schema).write.parquet(str(tmp_path / "cut"))
+    mixed = Counter()
+    for r in mixing.mix_report(spark.read.parquet(str(tmp_path / "cut"))).collect():
+        mixed[r["doc_id"]] += r["taken"] // r["size"] if r["size"] else 0
+    (tmp_path / "sf").mkdir()
+    written.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    packed = Counter(r["doc_id"] for r in rows if r["piece"] == 0)
+    sized = {r["doc_id"] for r, x in zip(first, texts) if WORD.search(x)}
+    assert {k: n for k, n in packed.items() if k in sized} == {k: n for k, n in mixed.items() if n}
     assert rows and max(r["offset"] + r["length"] for r in rows) <= 2048
 
 
