@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A trained network's verdicts and tokenisation are beyond SQL; tests hold each stage against a brute-force version.
+#: A trained network's verdicts and tokenisation are beyond SQL. tests/llm holds the stages' operators against brute force, and the run against its stages.
 ORACLE_SQL: str | None = None
 
 QUERIES = {"pipeline": run}
