@@ -72,18 +72,21 @@ def document_frequency(docs: DataFrame, forms: list[str]) -> DataFrame:
 
 
 def snippet(text: Column, phrase: list[str], width: int = 24, marks: tuple[str, str] = ("»", "«")) -> Column:
-    """About width words around the first hit, with the hit words marked."""
+    """The width words that hold most hits, with the hit words marked: of the windows that begin with a hit or hold it in the middle, the first one with most."""
     ws = F.split(text, "\\s+")
     hit = lambda w: F.exists(tokens(w), lambda t: reduce(lambda a, b: a | b, [matches(t, p) for p in phrase]))
-    first = F.greatest(F.array_position(F.transform(ws, hit), True) - width // 2, F.lit(1)).cast("int")
-    part = F.transform(F.slice(ws, first, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
+    spots = lambda w: F.filter(F.transform(w, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
+    begins = lambda at: F.transform(F.concat(F.transform(at, lambda i: F.greatest(i - width // 2, F.lit(0))), at), lambda i: F.struct((-F.size(F.filter(at, lambda j: (j >= i) & (j < i + width)))).alias("hits"), i.alias("at")))
+    best = F.get(F.transform(F.array(spots(ws)), lambda at: F.coalesce(F.array_min(begins(at))["at"], F.lit(0))), F.lit(0))
+    part = F.transform(F.slice(ws, best + 1, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
     return F.array_join(part, " ")
 
 
-def contains(docs: DataFrame, query: str) -> DataFrame:
-    """The fallback for a query that isn't valid syntax: a folded substring test, rank 0, and the first 300 characters."""
+def contains(docs: DataFrame, query: str, most: int = 50) -> DataFrame:
+    """The fallback for a query that isn't valid syntax: the folded query as a substring of the lower-cased text (whose marked letters stay), rank 0, and the first
+    300 characters, of so many documents in order of doc_id."""
     folded = fold(F.lit(query.replace('"', "")))
-    return docs.where(F.contains(fold(F.col("text")), folded)).select("doc_id", F.lit(0.0).alias("score"), F.substring("text", 1, 300).alias("excerpt"))
+    return docs.where(F.contains(F.lower("text"), folded)).select("doc_id", F.lit(0.0).alias("score"), F.substring("text", 1, 300).alias("excerpt")).orderBy("doc_id").limit(most)
 
 
 def postings(docs: DataFrame) -> DataFrame:

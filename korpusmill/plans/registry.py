@@ -104,7 +104,7 @@ def fts_snippet(spark, sf):
     return read(spark, sf, "documents").where(F.exists(tx.tokens(F.col("text")), lambda x: x == "worthless")).select("doc_id", search.snippet(F.col("text"), ["worthless"]).alias("snippet"))
 
 
-@query(f"SELECT doc_id, 0.0::DOUBLE AS score, substr(text, 1, 300) AS excerpt FROM documents WHERE contains(translate(lower(text), '{tx.MARKED}', '{tx.PLAIN}'), 'of the.')")
+@query("SELECT doc_id, 0.0::DOUBLE AS score, substr(text, 1, 300) AS excerpt FROM documents WHERE contains(lower(text), 'of the.') ORDER BY doc_id LIMIT 50")
 def like_fallback(spark, sf):
     return search.contains(read(spark, sf, "documents"), '"of the."')
 
@@ -313,19 +313,19 @@ def slugify(spark, sf):
 LICENCE_LINE = "(?im)^.*(licen[cs]e|rights reserved|CC BY|CC0).*$"
 
 
-@query("""WITH l AS (SELECT doc_id, regexp_extract(text, '(?im)^.*(license|licence|rights reserved|CC BY|CC0).*$') AS line FROM documents),
+@query("""WITH l AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '(?im)^.*(license|licence|rights reserved|CC BY|CC0).*$'), ' ') AS line FROM documents),
 n AS (SELECT doc_id, line, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS t FROM l WHERE line <> '')
 SELECT doc_id, line, CASE WHEN regexp_matches(t, 'sva prava pridrzana|all rights reserved') THEN 'zabranjena' WHEN regexp_matches(t, 'cc0|public domain|javno dobro|\\bpdm\\b') THEN 'slobodna'
 WHEN NOT regexp_matches(t, '\\bby\\b|attribution|creative commons|\\bcc\\b') THEN NULL WHEN regexp_matches(t, '\\b(nc|nd)\\b|non ?commercial|no ?deriv') THEN 'uvjetna'
 WHEN regexp_matches(t, '\\bby\\b|attribution|\\bsa\\b|sharealike') THEN 'slobodna' END AS class FROM n""")
 def redistribution_class(spark, sf):
-    line = F.regexp_extract("text", LICENCE_LINE.replace("licen[cs]e", "license|licence"), 0)
+    line = F.array_join(F.regexp_extract_all("text", F.lit(LICENCE_LINE.replace("licen[cs]e", "license|licence")), 0), " ")
     return read(spark, sf, "documents").select("doc_id", line.alias("line")).where("line <> ''").select("doc_id", "line", classify.redistribution(F.col("line")).alias("class"))
 
 
 @query()
 def licence_class(spark, sf):
-    line = F.regexp_extract("text", LICENCE_LINE, 0)
+    line = F.array_join(F.regexp_extract_all("text", F.lit(LICENCE_LINE), 0), " ")
     return read(spark, sf, "documents").select("doc_id", line.alias("line")).where("line <> ''").select("doc_id", "line", classify.licence_class(F.col("line")).alias("c")).select("doc_id", "line", "c.*")
 
 

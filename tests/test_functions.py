@@ -46,6 +46,9 @@ def test_sample_grows_by_prefix(spark):
 
 def test_snippet_marks_the_hit(spark):
     assert "»šuma«" in one(spark, search.snippet(F.col("t"), ["suma"]), t="velika šuma raste")
+    far = "hit " + "a " * 60 + "hit b hit c hit " + "d " * 60
+    assert one(spark, search.snippet(F.col("t"), ["hit"], width=8), t=far).count("»") == 3
+    assert one(spark, search.snippet(F.col("t"), ["hit"], width=2), t="none of it") == "none of"
 
 
 def test_ingest_takes_each_id_once(spark, tmp_path):
