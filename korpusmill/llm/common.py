@@ -69,6 +69,15 @@ def with_row(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")))
 
 
+#: Row keys of 16 bytes up to which a list of rows is broadcast (16 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """A stored list of row keys, marked for a broadcast if it is short enough: the other side, texts most often, then stays where it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def quoted(columns: list[str]) -> list[str]:
     """Names as select() takes them, whatever dots or spaces they have."""
     return ["`" + c.replace("`", "``") + "`" for c in columns]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from korpusmill.llm.anchors import LENGTH, Runs, Tables, find_runs
 from korpusmill.llm.arrow import slices, utf8
-from korpusmill.llm.common import batches_of, drop, free_name, quoted, stored, with_row
+from korpusmill.llm.common import batches_of, drop, free_name, listed, quoted, stored, with_row
 from korpusmill.llm.hashing import mix
 from korpusmill.llm.jaccard import whole_groups
 
@@ -295,7 +295,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
             covered.append(known.where("place < 0").select("row", "start", F.col("windows").cast("bigint").alias("length")))
             open_runs = known.where("place >= 0")
             rows = stored(open_runs.select("row").distinct())
-            with_text = texts.join(rows, "row", "left_semi").join(open_runs, "row")
+            with_text = texts.join(listed(rows), "row", "left_semi").join(open_runs, "row")
             strings = with_text.select("anchor", "row", "start", "windows", "place", "weight", F.expr(f"substring(text, cast(start + 1 as int), windows + {LENGTH - 1})").alias("bytes"))
             heavy = open_runs.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor")
             tables.append(rows)
@@ -341,10 +341,11 @@ def strip_repeats(docs: DataFrame, valid: bool = False) -> DataFrame:
                     found = [(k.decode("utf-8", "ignore").encode(), *counts) for k, *counts in found]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.diff(utf8(b.column("text"))[1])), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    hit = packed.join(ranges, "row").select("doc", "text", "ranges")
+    rows = listed(stored(ranges.select("row")))
+    hit = packed.join(rows, "row", "left_semi").join(ranges, "row").select("doc", "text", "ranges")
     schema = T.StructType([packed.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     none = F.lit(0).cast("bigint")
-    rest = packed.join(ranges.select("row"), "row", "left_anti").select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
+    rest = packed.join(rows, "row", "left_anti").select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").alias("kept"))
     return hit.mapInArrow(run, schema).unionByName(rest)
 
 
