@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.llm.arrow import give_back, slices, utf8
-from korpusmill.llm.common import batches_of, drop, free_name, quoted, stored, with_row
+from korpusmill.llm.common import batches_of, drop, free_name, listed, quoted, stored, with_row
 from korpusmill.llm.components import connected
 from korpusmill.llm.hashing import Powers
 from korpusmill.llm.shingles import shingle_sets
@@ -384,7 +384,7 @@ def links(keyed: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = stored(rows_of(pairs, classes))
-    sets = stored(keyed.join(rows, "row", "left_semi").select("text").mapInArrow(arrays, "class bigint, shingles binary"))
+    sets = stored(keyed.join(listed(rows), "row", "left_semi").select("text").mapInArrow(arrays, "class bigint, shingles binary"))
     side = lambda c: sets.select(F.col("class").alias(c), F.col("shingles").alias(f"s{c}"))
     out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint"))
     drop(rows, sets)
@@ -437,7 +437,9 @@ def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = stored(often_enough(tiles.where("b is not null"), members))
     drop(tiles)
     ends = pairs.unionByName(members.select(F.col("class").alias("a"), F.col("class").alias("b")))
-    bits = stored(described.join(rows_of(ends, classes), "row", "left_semi").select("class", "n", "bits"))
+    rows = stored(rows_of(ends, classes))
+    bits = stored(described.join(listed(rows), "row", "left_semi").select("class", "n", "bits"))
+    drop(rows)
     small = stored(bounded(pairs, bits))
     drop(pairs)
     first = stored(members.groupBy("class").agg(F.min("key").alias("first")))
@@ -487,4 +489,4 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     described, components = near_duplicates(docs)
     row = free_name(docs, "row")
     gone = stored(described.join(components, "class").where("row <> best.row").select(F.col("row").alias(row)))
-    return with_row(docs, row).join(gone, row, "left_anti").select(*quoted(docs.columns))
+    return with_row(docs, row).join(listed(gone), row, "left_anti").select(*quoted(docs.columns))
