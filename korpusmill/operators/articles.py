@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from korpusmill.functions.text import citation
 from korpusmill.operators.classify import redistribution
 
+# Status of a text that was read well, class of texts that may be shared, and the source and kind of corpus records of articles.
 OK = "ok"
 FREE = "slobodna"
+SOURCE, KIND = "hrcak", "doktrina"
 
 
 def blank(c: str) -> Column:
@@ -54,7 +56,7 @@ def corpus_records(marked: DataFrame) -> DataFrame:
     number = F.coalesce(F.regexp_extract("oai_id", "([0-9]+)$", 1), F.lit(""))
     bare = lambda c: F.nullif(F.trim(F.regexp_replace(F.trim(c), "[.]+$", "")), F.lit(""))
     return marked.where("outcome = 'transferred'").select(
-        F.concat(F.lit("hrcak:"), F.when(number != "", number).otherwise(F.col("oai_id"))).alias("id"), F.lit("hrcak").alias("source"), F.lit("doktrina").alias("kind"),
+        F.concat(F.lit(f"{SOURCE}:"), F.when(number != "", number).otherwise(F.col("oai_id"))).alias("id"), F.lit(SOURCE).alias("source"), F.lit(KIND).alias("kind"),
         F.coalesce("url", "oai_id").alias("url"), "title", authors.alias("authors"), "journal", citation(bare("volume"), bare("issue"), F.col("year").cast("string")).alias("citation"), "licence", "class", "year", "text",
     )
 
