@@ -21,7 +21,8 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, so that no other script changes."""
-    return F.translate(text, UPPER, LOWER)
+    plain = F.octet_length(text) == F.length(text)  # then lower knows no other letters, and is faster
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def shared_folder(spark: SparkSession) -> str:

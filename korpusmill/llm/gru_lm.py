@@ -17,9 +17,11 @@ out nor learned from; repeated rows are scored each; an empty table gives an emp
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +38,23 @@ COMMON = 100_000
 FIRST_DOCS, SLICE = 600, 6000
 STEPS, LANES, WINDOW = 500, 48, 32
 PART_TOKENS, PART_LANES, PART_RATE = 1 << 20, 256, 0.003
-SCORE_LANES, SCORE_BYTES = 512, 12 << 20
+SCORE_LANES, SCORE_TOKENS, SCORE_BYTES = 512, 1 << 15, 24 << 20
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.negative(x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def log_softmax_at(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log softmax of each row of the logits x, which it overwrites, at the row's target."""
+    np.minimum(x, 60, out=x)  # far above any trained logit; the sums stay finite without a maximum by row
+    own = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def softmax_gradient(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -85,23 +94,33 @@ class GruLM:
         return np.where(ids == self.v, self.classes, ids // self.per)
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        return self.move(self.p["wx"][ids] + self.p["b"], h)
+
+    def move(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The next state, from the words' inputs x (biases included) and the state; and what backpropagation needs."""
         d = self.hidden
-        x, u = self.p["wx"][ids] + self.p["b"], h @ self.p["wh"]
+        u = h @ self.p["wh"]
         g = sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
-        z, r = g[:, :d], g[:, d:]
-        n = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
-        return n + z * (h - n), (ids, h, z, r, n, u[:, 2 * d :])
+        z, r, un = g[:, :d], g[:, d:], u[:, 2 * d :]
+        n = r * un
+        n += x[:, 2 * d :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, (z, r, n, un)
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log P (natural) of each id given its state; for other words, of their class."""
         cls = self.class_of(ids)
-        out = log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(ids)), cls]
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=self.classes + 1))])
+        out = log_softmax_at(h @ self.p["wc"] + self.p["bc"], cls)
+        states, words = h[order], ids[order]
         for k in range(self.classes):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                out[at] += log_softmax(h[at] @ self.p["ww"][k] + self.p["bw"][k])[np.arange(len(at)), ids[at] - k * self.per]
+            at = slice(edges[k], edges[k + 1])
+            if at.start < at.stop:
+                out[order[at]] += log_softmax_at(states[at] @ self.p["ww"][k] + self.p["bw"][k], words[at] - k * self.per)
         return out
 
     def output_gradients(self, h: np.ndarray, ids: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
@@ -129,31 +148,34 @@ class GruLM:
     def window_gradients(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """ids, fresh: (lanes, steps); where fresh, a document begins and the state is 0. Backpropagation stays inside the window."""
         lanes, steps = ids.shape
-        g, states, kept = {k: np.zeros_like(v) for k, v in self.p.items()}, [], []
+        d, kind = self.hidden, self.p["wh"].dtype
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        stays = (~fresh.T[:, :, None]).astype(kind)
+        x = (self.p["wx"] + self.p["b"])[ids.T]
+        states, z, r, n, un = (np.empty((steps, lanes, d), kind) for _ in range(5))
         for t in range(steps):
-            h = np.where(fresh[:, t, None], 0, h).astype(np.float32)
-            states.append(h)
-            h, saved = self.step(ids[:, t], h)
-            kept.append(saved)
-        dh, loss = self.output_gradients(np.concatenate(states), ids.T.ravel(), g)
-        dh = dh.reshape(steps, lanes, -1)
+            states[t] = h = h * stays[t]
+            h, (z[t], r[t], n[t], un[t]) = self.move(x[t], h)
+        dh, loss = self.output_gradients(states.reshape(-1, d), ids.T.ravel(), g)
+        dh = dh.reshape(steps, lanes, d)
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (states - n) * z * (1 - z), un * r * (1 - r)
         back = np.zeros_like(h)
-        d = self.hidden
         dx = np.empty((steps, lanes, 3 * d), h.dtype)
         du = np.empty_like(dx)
         wh = np.ascontiguousarray(self.p["wh"].T)
         for t in range(steps - 1, -1, -1):
-            _, before, z, r, n, un = kept[t]
-            dn = dx[t, :, 2 * d :] = back * (1 - z) * (1 - n * n)
-            dx[t, :, :d] = back * (before - n) * z * (1 - z)
-            dx[t, :, d : 2 * d] = dn * un * r * (1 - r)
-            du[t, :, : 2 * d] = dx[t, :, : 2 * d]
-            du[t, :, 2 * d :] = dn * r
-            back = back * z + du[t] @ wh + dh[t]
-            back[fresh[:, t]] = 0
+            dn = np.multiply(back, to_n[t], out=dx[t, :, 2 * d :])
+            np.multiply(back, to_z[t], out=du[t, :, :d])
+            np.multiply(dn, to_r[t], out=du[t, :, d : 2 * d])
+            np.multiply(dn, r[t], out=du[t, :, 2 * d :])
+            back *= z[t]
+            back += du[t] @ wh
+            back += dh[t]
+            back *= stays[t]
+        dx[:, :, : 2 * d] = du[:, :, : 2 * d]
         dx, du, word = dx.reshape(-1, 3 * d), du.reshape(-1, 3 * d), ids.T.ravel()
         g["b"] += dx.sum(0)
-        g["wh"] += np.concatenate(states).T @ du
+        g["wh"] += states.reshape(-1, d).T @ du
         order = np.argsort(word.astype(np.uint16), kind="stable")
         seen, at = np.unique(word[order], return_index=True)
         g["wx"][seen] = np.add.reduceat(dx[order], at)
@@ -185,28 +207,49 @@ class GruLM:
                 self.p[k] -= (now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
         return losses
 
-    def score(self, docs: list[np.ndarray], lanes: int = SCORE_LANES, window: int = WINDOW) -> np.ndarray:
-        """Natural log-likelihood of each whole document; its state passes from window to window."""
+    def score(self, docs: list[np.ndarray], lanes: int = SCORE_LANES, window: int | None = None) -> np.ndarray:
+        """Natural log-likelihood of each whole document; its state passes from window to window.
+
+        Lanes read documents one after the other: as many lanes as the longest document leaves work for, filled longest document first.
+        """
+        size = np.array([len(x) for x in docs], np.int64)
         total = np.zeros(len(docs))
-        order = np.argsort([-len(x) for x in docs], kind="stable")
-        for i in range(0, len(order), lanes):
-            part = order[i : i + lanes]
-            size = np.array([len(docs[k]) for k in part])
-            ids = np.concatenate([docs[k] for k in part])
-            begin = np.cumsum(size) - size
-            h = np.zeros((len(part), self.hidden), np.float32)
-            for at in range(0, size[0], window):
-                states, seen, lane = [], [], []
-                for t in range(at, min(at + window, size[0])):
-                    live = int(np.searchsorted(-size, -t, "left"))  # sizes descend: these have a token t
-                    h = h[:live]
-                    now = ids[begin[:live] + t]
-                    states.append(h)
-                    seen.append(now)
-                    lane.append(np.arange(live))
-                    h = self.step(now, h)[0]
-                lp = self.log_probs(np.concatenate(states), np.concatenate(seen))
-                total[part] += np.bincount(np.concatenate(lane), weights=lp, minlength=len(part))
+        if not size.sum():
+            return total
+        lanes = int(min(lanes, -(-size.sum() // size.max())))
+        window = window or max(WINDOW, SCORE_TOKENS // lanes)
+        free, holds = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+        for k in np.argsort(-size, kind="stable"):
+            if size[k]:
+                load, lane = free[0]
+                holds[lane].append(int(k))
+                heapq.heapreplace(free, (load + int(size[k]), lane))
+        holds.sort(key=lambda ks: -int(size[ks].sum()))
+        order = [k for ks in holds for k in ks]
+        ids = np.concatenate([docs[k] for k in order])
+        load = np.array([size[ks].sum() for ks in holds])
+        begin = np.cumsum(load) - load  # of each lane in ids
+        starts = np.cumsum(size[order]) - size[order]  # of each document in ids
+        lane_of = np.repeat(np.arange(lanes), [len(ks) for ks in holds])
+        by_time = np.argsort(starts - begin[lane_of], kind="stable")
+        opens, opening = (starts - begin[lane_of])[by_time], lane_of[by_time]
+        x, h, out = self.p["wx"] + self.p["b"], np.zeros((lanes, self.hidden), np.float32), np.empty(len(ids))
+        for at in range(0, int(load[0]), window):
+            now = np.arange(at, min(at + window, int(load[0])))
+            live = np.searchsorted(-load, -now, "left")  # loads descend: these lanes have a token t
+            to = np.cumsum(live)
+            place = begin[np.arange(to[-1]) - np.repeat(to - live, live)] + np.repeat(now, live)
+            words = ids[place]
+            inputs, states = x[words], np.empty((len(words), self.hidden), np.float32)
+            edges = np.searchsorted(opens, [*now, now[-1] + 1]).tolist()
+            for t, (n, end) in enumerate(zip(live.tolist(), to.tolist())):
+                state = states[end - n : end]
+                state[:] = h[:n]
+                if edges[t] < edges[t + 1]:
+                    state[opening[edges[t] : edges[t + 1]]] = 0
+                h = self.move(inputs[end - n : end], state)[0]
+            out[place] = self.log_probs(states, words)
+        total[order] = np.add.reduceat(out, starts)
         return total
 
 
@@ -228,6 +271,11 @@ def tokens(text: Column) -> Column:
     return F.concat(words(ascii_lower(F.coalesce(text, F.lit("")))), F.array(F.lit(END)))
 
 
+def places(ws: list[bytes], place: dict[bytes, int], other: int) -> np.ndarray:
+    """Each word's place, or other."""
+    return np.fromiter(map(place.get, ws, repeat(other)), np.int64, len(ws))
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
@@ -264,10 +312,10 @@ def train_parts(docs: DataFrame, ids: dict[bytes, int], model: GruLM, parts: int
     size = sum(x.size for x in model.p.values())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, v = shared.value[0].get, len(shared.value[0])
+        place, v = shared.value[0], len(shared.value[0])
         for whole in batches:
             for b in slices(whole, "text", SCORE_BYTES):
-                out = [np.array([get(w, v) for w in [*t.as_buffer().to_pybytes().lower().split(), end]], "<u2").tobytes() for t in b.column("text")]
+                out = [places([*t.as_buffer().to_pybytes().lower().split(), end], place, v).astype("<u2").tobytes() for t in b.column("text")]
                 yield pa.RecordBatch.from_arrays([b.column("part"), b.column("o"), pa.array(out, pa.binary())], names=["part", "o", "ids"])
 
     def fit(part: pa.Table) -> pa.Table:
@@ -335,7 +383,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         s: Scorer = shared.value
         v, end = len(s.ids), END.encode()
         base_floor, other_floor = np.log10(s.tokens + s.distinct + 1), np.log10(s.other_tokens + s.other_distinct + 1)
-        get, ids = s.counts.get, s.ids
+        place, count_of = {w: i for i, w in enumerate(s.counts)}, np.array([*s.counts.values(), 0], np.float64)
+        log_of = np.log10(count_of + 1)
         for whole in batches:
             for b in slices(whole, "text", SCORE_BYTES):
                 encoded, n_tokens, known, logs, own_logs, n_other = [], [], [], [], [], []
@@ -343,13 +392,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 for i, t in enumerate(b.column("text")):
                     ws = t.as_buffer().to_pybytes().lower().split()
                     ws.append(end)
-                    own = np.fromiter((ids.get(w, v) for w in ws), np.int64, len(ws))
-                    c = np.fromiter((get(w, 0) for w in ws), np.float64, len(ws))
-                    rare = Counter(ws[k] for k in np.flatnonzero(c == 0))
-                    lc = np.log10(c + 1)
+                    at = places(ws, place, len(place))  # the words with ids come first
+                    own = np.minimum(at, v)
+                    unlisted = np.flatnonzero(at == len(place)).tolist()
+                    rare = Counter([ws[k] for k in unlisted])
+                    lc = log_of[at]
                     encoded.append(own)
                     n_tokens.append(len(ws))
-                    known.append(int(np.count_nonzero(c)))
+                    known.append(len(ws) - len(unlisted))
                     logs.append(float(lc.sum()) - len(ws) * base_floor)
                     other = own == v
                     own_logs.append(float(lc[other].sum()) - np.count_nonzero(other) * other_floor)
