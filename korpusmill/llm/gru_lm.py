@@ -285,8 +285,18 @@ def learners(docs: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """word, c over all learning documents, written to the shared folder."""
-    return stored(learners(docs).select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    """word, c over all learning documents, written to the shared folder; the words of some megabytes of texts are counted before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", SCORE_BYTES):
+                seen = Counter({END.encode(): b.num_rows})
+                for t in b.column("text"):
+                    seen.update(t.as_buffer().to_pybytes().lower().split())
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+
+    texts = learners(docs).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return stored(texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
