@@ -10,11 +10,25 @@ from korpusmill.functions.text import tokens
 
 
 def tfidf(docs: DataFrame, least_df: int = 3) -> DataFrame:
-    """doc_id, term, value: sublinear term frequency times smooth idf, of unit length per document, for words and pairs of words."""
+    """doc_id, term, value of words and pairs of words, as ``weighed`` gives them."""
     t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
     pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = t.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least_df)
+    return weighed(docs, t.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")), least_df)
+
+
+def char_tfidf(docs: DataFrame, least_df: int = 3, most: int = 200_000, sizes: tuple[int, int] = (3, 5)) -> DataFrame:
+    """doc_id, term, value of the strings of 3 to 5 characters inside each word between two spaces; a word shorter than a size has none of it."""
+    word = F.explode(tokens(F.col("text"))).alias("word")
+    rows = docs.select("doc_id", word).select("doc_id", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
+    strings = F.transform(F.sequence(F.lit(sizes[0]), F.least(F.lit(sizes[1]), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n)))
+    return weighed(docs, rows.select("doc_id", F.explode(F.flatten(strings)).alias("term")), least_df, most)
+
+
+def weighed(docs: DataFrame, terms: DataFrame, least_df: int, most: int | None = None) -> DataFrame:
+    """doc_id, term, value: sublinear term frequency times smooth idf, of unit length per document; of terms in least_df documents, the most frequent ones (ties by term)."""
+    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where(F.col("df") >= least_df)
+    df = (df if most is None else df.orderBy(F.desc("all"), "term").limit(most)).drop("all")
     n = docs.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("x", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     return raw.withColumn("value", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))).select("doc_id", "term", "value")

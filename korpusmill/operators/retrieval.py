@@ -68,6 +68,24 @@ def fuse(hits: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     return out.select("doc_id", F.round("score", 9).alias("score"), named.alias("provenance"))
 
 
+def ablations(hits: DataFrame, gold: DataFrame, branches: list[str], k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """without (empty: every branch takes part), found: gold documents (doc_id) among the first k of the hits fused without one branch at a time.
+
+    Ties go to the smaller doc_id; a run that has no hits left has no row.
+    """
+    runs = F.explode(F.array(*[F.lit(b) for b in ["", *branches]])).alias("without")
+    kept = hits.select("*", runs).where(~F.col("branch").eqNullSafe(F.col("without")))
+    scored = kept.groupBy("without", "doc_id").agg(F.round(F.sum(F.col("weight") / (rrf_k + F.col("rank"))), 9).alias("score"))
+    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("without").orderBy(F.desc("score"), "doc_id"))).where(F.col("place") <= k)
+    met = top.join(gold.select("doc_id", F.lit(True).alias("good")).distinct(), "doc_id", "left")
+    return met.groupBy("without").agg(F.count("good").alias("found"))
+
+
+def united(hits: DataFrame) -> DataFrame:
+    """doc_id, groups, best: every document that any group (label, doc_id, rank) found, the groups' names in order and the best rank."""
+    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("groups"), F.min("rank").alias("best"))
+
+
 def ranks(scored: DataFrame, label: str, branch: str, weight: float = 1.0, depth: int = 40) -> DataFrame:
     """Ranked hits of one query in one branch, from (doc_id, score), least score first."""
     top = scored.orderBy("score", "doc_id").limit(depth)

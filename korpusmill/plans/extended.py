@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from korpusmill.functions import text as tx
-from korpusmill.operators import articles, classify, corpus, decisions, embed, index, retrieval, search
+from korpusmill.operators import articles, classify, corpus, decisions, embed, index, learn, retrieval, search
 from korpusmill.plans.indexes import asked, stored_index
-from korpusmill.plans.registry import bm25_sql, query, read
+from korpusmill.plans.registry import bm25_sql, query, read, tokens_sql
 from korpusmill.sources import records
+from korpusmill.streaming import ingest
 
 
 def sql_values(rows: list[tuple], names: str) -> str:
@@ -240,6 +241,52 @@ def training_set(spark, sf):
     return classify.training_set(read(spark, sf, "documents"), pairs, least=10).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
+HITS = """SELECT doc_id, 'long' AS branch, 'a' AS label, 1.0 AS weight, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents
+UNION ALL SELECT doc_id, 'late', 'b', 0.5, row_number() OVER (ORDER BY doc_id DESC) FROM documents WHERE doc_id IS NOT NULL"""
+
+
+def branch_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The 100 longest and the 100 last documents."""
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars")
+    top = lambda rows, order, label, branch, weight: rows.orderBy(*order).limit(100).select("doc_id", F.lit(branch).alias("branch"), F.lit(label).alias("label"), F.lit(weight).alias("weight"), F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"))
+    return top(docs, [F.desc("n_chars"), F.col("doc_id")], "a", "long", 1.0).unionByName(top(docs.where("doc_id is not null"), [F.desc("doc_id")], "b", "late", 0.5))
+
+
+@query(f"""WITH h AS (SELECT * FROM ({HITS}) AS x WHERE rank <= 100), w AS (SELECT unnest(['', 'long', 'late']) AS without),
+s AS (SELECT without, doc_id, round(sum(weight / (60 + rank)), 9) AS score FROM h, w WHERE branch <> without GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY without ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT without, count(*) FILTER (doc_id % 7 = 0) AS found FROM p WHERE place <= 50 GROUP BY without""")
+def branch_ablations(spark, sf):
+    return retrieval.ablations(branch_hits(spark, sf), read(spark, sf, "documents").where("doc_id % 7 = 0"), ["long", "late"], 50)
+
+
+@query(f"SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS groups, min(rank)::BIGINT AS best FROM ({HITS}) AS x WHERE rank <= 100 GROUP BY doc_id")
+def united_groups(spark, sf):
+    return retrieval.united(branch_hits(spark, sf)).withColumn("groups", F.array_join("groups", ","))
+
+
+@query(f"""WITH w AS (SELECT doc_id, ' ' || unnest({tokens_sql('text')}) || ' ' AS w FROM documents), z AS (SELECT doc_id, w, unnest(range(3, least(5, length(w)) + 1)) AS n FROM w),
+g AS (SELECT doc_id, substring(w, i::INT, n::INT) AS term FROM (SELECT doc_id, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM z) AS y),
+f AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term HAVING count(*) >= 3 ORDER BY sum(tf) DESC, term LIMIT 200000),
+x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM f JOIN d USING (term))
+SELECT doc_id, count(*) AS terms, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM x GROUP BY doc_id""")
+def tfidf_char(spark, sf):
+    return learn.char_tfidf(read(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("value"), 6).alias("largest"))
+
+
+MARKS = "SELECT event_type, min(ts) AS latest, 5 AS records FROM events WHERE event_type IS NOT NULL GROUP BY event_type"
+
+
+@query(f"""WITH o AS ({MARKS}), n AS (SELECT event_type, max(ts) AS latest, count(*) AS records FROM events WHERE event_type IS NOT NULL GROUP BY event_type)
+SELECT 'whole' AS scan, event_type, greatest(o.latest, n.latest) AS latest, o.records + n.records AS records FROM o JOIN n USING (event_type)
+UNION ALL SELECT 'cut off', event_type, o.latest, o.records + n.records FROM o JOIN n USING (event_type)""")
+def remembered_marks(spark, sf):
+    events = read(spark, sf, "events").where("event_type is not null")
+    old, new = events.groupBy("event_type").agg(F.min("ts").alias("latest"), F.lit(5).cast("bigint").alias("records")), ingest.watermark(events, "event_type", "ts")
+    one = lambda name, complete: ingest.remembered(old, new, "event_type", complete).select(F.lit(name).alias("scan"), "event_type", "latest", "records")
+    return one("whole", True).unionByName(one("cut off", False))
+
+
 # ---- tables, addresses, small functions ----
 
 

@@ -35,3 +35,13 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 def watermark(harvest: DataFrame, key: str, stamp: str) -> DataFrame:
     """The latest stamp and the number of records of each harvested set; to be stored only after a complete scan."""
     return harvest.groupBy(key).agg(F.max(stamp).alias("latest"), F.count("*").alias("records"))
+
+
+def remembered(old: DataFrame, new: DataFrame, key: str, complete: bool) -> DataFrame:
+    """The next version of the stored marks (key, latest, records): counts add up, and a stamp moves on, never back, only after a complete scan.
+
+    A scan that was cut off by a limit has seen late stamps while older records are still unread; moving on would skip them for good.
+    """
+    met = old.withColumnsRenamed({"latest": "was", "records": "had"}).join(new, key, "full_outer")
+    moved = F.greatest("was", "latest") if complete else F.col("was")
+    return met.select(key, moved.alias("latest"), (F.coalesce("had", F.lit(0)) + F.coalesce("records", F.lit(0))).alias("records"))
