@@ -120,16 +120,9 @@ def fts_postings(spark, sf):
 SIM = "round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 5)"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id < 5),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
-def vector_topk(spark, sf):
-    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return retrieval.vector_topk(v, v.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 10)
-
-
 @query(f"""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, {SIM} AS sim FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
-def vector_topk_every_50th(spark, sf):
+def vector_topk(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
     return retrieval.vector_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 10)
 
@@ -520,11 +513,11 @@ def control_phrases(spark, sf):
     return rows.select("x.*", (F.col("x.documents") == 0).alias("suspicious"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 5) AS sim FROM v, v AS q WHERE q.vec_id IN (3, 7, 11))
+@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 5) AS sim FROM v, v AS q WHERE q.vec_id % 50 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def vector_topk_batch(spark, sf):
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
-    return retrieval.vector_topk(v, v.where("vec_id in (3, 7, 11)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
+    return retrieval.vector_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5)
 
 
 from korpusmill.plans import extended  # noqa: E402,F401  registers its queries

@@ -42,7 +42,7 @@ def test_entry_has_rows(spark):
 def test_vector_search_in_blocks(spark, monkeypatch):
     """Every 50th row asks, and blocks, nulls, sizes and ties give the rows of brute force."""
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
-    found = entry.queries()["vector_topk_every_50th"](spark, SF)
+    found = entry.queries()["vector_topk"](spark, SF)
     assert found.select("qid").distinct().count() == asked
     monkeypatch.setattr(retrieval, "BLOCK", 16)
     rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(90)] + [(90, None), (91, [1.0]), (92, [1.0, None, 2.0])]
