@@ -8,7 +8,8 @@
    at most the rest of the larger, so a pair that shares too few tiles is out before anything else of it is read.
 4. Larger tiles are cut into size bands (a factor of 4/3 each; two sets that link are in one band or in neighbours) and carry hashed bitmaps. The pairs
    of a tile (key, band) are bounded from above inside its task: a bit set on one side only is a shingle that the other lacks. Blocks of a tile meet
-   two by two, in tasks of their own. Of each class ``LIMIT`` pairs with classes before it come first, from the first of its tiles, then from all tiles that
+   two by two, in tasks of their own. Of the tiles that two classes share, only the first one asked gives their pair, so that a group that shares many
+   shingles gives its pairs once and not once for each. Of each class ``LIMIT`` pairs with classes before it come first, from the first of its tiles, then from all tiles that
    still hold several components; those that held more pairs give ``MORE`` times as many each time, until none is left over.
 5. Pairs within the bound are decided by exact intersection of the sorted arrays: first one of each class, then those that still join two components.
 6. Connected components of the links give each document the smallest doc_id that it reaches. Once two classes are in one component, further
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from korpusmill.llm.arrow import give_back, slices, utf8
 from korpusmill.llm.common import batches_of, drop, free_name, listed, quoted, stored, with_row
@@ -59,12 +61,24 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return -(-ALIKE * (na + nb) // (100 + ALIKE))
 
 
+def words_of(n: int) -> int:
+    """64-bit words of the bitmap of n shingles."""
+    return 1 << max(0, int(n - 1).bit_length() + 2 - 6)
+
+
 def bitmap(shingles: np.ndarray) -> bytes:
-    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size."""
-    words = 1 << max(0, int(len(shingles) - 1).bit_length() + 2 - 6)
+    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size. Compressed where that is shorter."""
+    words = words_of(len(shingles))
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    plain = np.packbits(bits, bitorder="little").tobytes()
+    return min(plain, pa.compress(plain, codec="zstd", asbytes=True), key=len)
+
+
+def unpacked(bits: pa.Buffer, n: int) -> np.ndarray:
+    """bitmap() of n shingles as a row of words."""
+    size = 8 * words_of(n)
+    return np.frombuffer(bits if len(bits) == size else pa.decompress(bits, size, codec="zstd"), np.uint64)[None]
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -283,27 +297,33 @@ def often_enough(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.where(room + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= least_common(F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def dealt_tiles(members: DataFrame) -> DataFrame:
-    """The members (key, class, n, label, probe) by tile (key, band), a class in its own band and, as high, in the one below; and there by blocks i, j. Tiles of one
-    component, or without a class of their own band, have nothing to compare."""
+def dealt_tiles(members: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The members (key, class, n, label, probe) by tile (key, band), of all tiles or those among (key, band), a class in its own band and, as high, in the one below; and there
+    by blocks i, j. before: the keys under this one by which the class is a probe in the band. Tiles of one component, or without a class of their own band, have nothing to compare."""
     own_band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / ALIKE))).cast("int")
     each = members.withColumn("_band", own_band).withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") - 1))).withColumn("high", F.col("band") < F.col("_band")).drop("_band")
     sizes = each.groupBy("key", "band").agg(F.count("*").alias("_m"), F.max("n").alias("_n"), F.min("high").alias("_high"), F.min("label").alias("_least"), F.max("label").alias("_most"))
     blocks = F.ceil(F.greatest(F.col("_m") / BLOCK, F.col("_m") * F.col("_n") / BLOCK_BYTES)).cast("int")
     sizes = sizes.where("not _high and _least <> _most").select("key", "band", blocks.alias("_blocks"))
+    if among is not None:
+        sizes = sizes.join(among, ["key", "band"], "left_semi")
+    sooner = Window.partitionBy("class", "band").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     dealt = each.join(sizes, ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("before", F.filter(F.collect_list(F.when(F.col("probe"), F.col("key"))).over(sooner), lambda x: x < F.col("key")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.select("key", "band", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "high", "class", F.col("n").cast("bigint").alias("n"), "label", "probe")
+    return dealt.select("key", "band", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "high", "class", F.col("n").cast("bigint").alias("n"), "label", "probe", "before")
 
 
 def bounded_in_tiles(dealt: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
-    """a, b: of each class that is a probe the first pairs with classes before it that are within the bitmap bound; and key, band (a null) of the tiles that hold more."""
+    """a, b: of each class that is a probe the first pairs with classes before it that are within the bitmap bound and don't meet in a tile of a smaller key;
+    and key, band (a null) of the tiles that hold more."""
     by = ["key", "band", "i", "j"]
 
-    def block(t: pa.Table, x: int, y: int, c: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[list, list, bool]:
-        words = int(np.diff(offsets[x : y + 1]).min()) // 8
-        maps = np.concatenate([fold(data[offsets[r] : offsets[r + 1]].view(np.uint64)[None], words) for r in range(x, y)])
+    def block(x: int, y: int, c: dict[str, np.ndarray], bits: pa.Array, keys: np.ndarray, starts: np.ndarray) -> tuple[list, list, bool]:
         cls, n, label, high, own = (c[k][x:y] for k in ("class", "n", "label", "high", "own"))
+        words = words_of(int(n.min()))
+        maps = np.concatenate([fold(unpacked(bits[x + r].as_buffer(), int(n[r])), words) for r in range(y - x)])
+        (different, code), at_code = np.unique(keys[starts[x] : starts[y]], return_inverse=True), starts[x : y + 1] - starts[x]
         left, right, cut = [], [], False
         for r in np.flatnonzero(c["probe"][x:y]).tolist():
             ok = (label[:r] != label[r]) & (100 * np.minimum(n[:r], n[r]) >= ALIKE * np.maximum(n[:r], n[r]))
@@ -311,6 +331,11 @@ def bounded_in_tiles(dealt: DataFrame, bits: DataFrame, limit: int) -> DataFrame
                 ok &= ~high[:r]
             if c["i"][x] != c["j"][x]:
                 ok &= own[:r] != own[r]
+            if (mine := code[at_code[r] : at_code[r + 1]]).size:
+                met = np.zeros(len(different), bool)
+                met[mine] = True
+                upto = np.concatenate([[0], np.cumsum(met[code[: at_code[r]]])])
+                ok &= upto[at_code[1 : r + 1]] == upto[at_code[:r]]
             at, got = np.flatnonzero(ok), 0
             for k in range(0, len(at), AT_ONCE):
                 some = at[k : k + AT_ONCE]
@@ -326,12 +351,13 @@ def bounded_in_tiles(dealt: DataFrame, bits: DataFrame, limit: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, by):
-            c = {k: t.column(k).to_numpy() for k in t.column_names if k != "bits"}
+            c = {k: t.column(k).to_numpy() for k in t.column_names if k not in ("bits", "before")}
             edge = np.flatnonzero(np.r_[True, np.any([c[k][1:] != c[k][:-1] for k in by], axis=0), True])
-            data, offsets = utf8(t.column("bits"))
+            bits, before = (t.column(k).combine_chunks() for k in ("bits", "before"))
+            keys, starts = before.flatten().to_numpy(), np.r_[0, np.cumsum(before.value_lengths().to_numpy())]
             left, right, more = [], [], []
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                a, b, cut = block(t, x, y, c, data, offsets)
+                a, b, cut = block(x, y, c, bits, keys, starts)
                 left += a
                 right += b
                 if cut:
@@ -340,7 +366,7 @@ def bounded_in_tiles(dealt: DataFrame, bits: DataFrame, limit: int) -> DataFrame
             none = lambda q: pa.nulls(q, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(len(a)), pa.array(c["key"][more])]), pa.concat_arrays([none(len(a)), pa.array(c["band"][more].astype(np.int64))]), pa.concat_arrays([pa.array(a), none(len(more))]), pa.concat_arrays([pa.array(b), none(len(more))])], names=["key", "band", "a", "b"])
 
-    return dealt.join(bits, "class").select(*by, "own", "high", "class", "n", "label", "probe", "bits").repartition(*by).sortWithinPartitions(*by, "class").mapInArrow(run, "key bigint, band bigint, a bigint, b bigint")
+    return dealt.join(bits, "class").select(*by, "own", "high", "class", "n", "label", "probe", "before", "bits").repartition(*by).sortWithinPartitions(*by, "class").mapInArrow(run, "key bigint, band bigint, a bigint, b bigint")
 
 
 # ---- decisions ----
@@ -355,7 +381,7 @@ def bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             keep = np.zeros(b.num_rows, bool)
             for r, (x, y) in enumerate(zip(b.column("bitsa"), b.column("bitsb"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64)[None], np.frombuffer(y.as_buffer(), np.uint64)[None]
+                x, y = unpacked(x.as_buffer(), int(na[r])), unpacked(y.as_buffer(), int(nb[r]))
                 least = min(x.shape[1], y.shape[1])
                 keep[r] = within_bound(na[r : r + 1], nb[r : r + 1], fold(x, least), fold(y, least))[0]
             yield b.select(["a", "b"]).filter(pa.array(keep))
@@ -453,10 +479,10 @@ def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if labels is not None:
             marked = marked.join(labels.withColumnRenamed("node", "class"), "class", "left")
         marked = marked.withColumn("label", F.col("class") if labels is None else F.coalesce("label", "class"))
-        dealt = dealt_tiles(marked)
-        if open_tiles is not None:
-            dealt = dealt.join(open_tiles, ["key", "band"], "left_semi")
-        found = stored(bounded_in_tiles(dealt, bits.select("class", "bits"), limit))
+        dealt = stored(dealt_tiles(marked, open_tiles))
+        asked = stored(dealt.select("class").distinct())
+        found = stored(bounded_in_tiles(dealt, bits.select("class", "bits").join(listed(asked), "class", "left_semi"), limit))
+        drop(dealt, asked)
         pairs = found.where("a is not null").select("a", "b")
         new = stored((pairs if turn else pairs.union(small)).distinct())
         labels = joined_up(keyed, new, classes, labels)

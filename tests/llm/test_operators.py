@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -496,3 +497,18 @@ def test_heavy_anchors_and_big_tiles_give_the_same_rows(written, monkeypatch):
 
 def test_values(spark):
     assert [r["x"] for r in values(spark, "x", ["a", "b"]).collect()] == ["a", "b"]
+
+
+def test_a_pair_of_many_tiles_comes_once(spark):
+    """Classes that share several large tiles give a pair in the first one only, and in each tile that must be asked again the rest."""
+    sets = [np.sort(np.r_[np.arange(1, 41), 1000 + i]).astype(np.uint64) << np.uint64(21) for i in range(12)]
+    bits = spark.createDataFrame([(i, len(s), jaccard.bitmap(s)) for i, s in enumerate(sets)], "class long, n int, bits binary")
+    members = spark.createDataFrame([(key, i, 41, i, True) for key in (7, 8, 9) for i in range(12)], "key long, class long, n int, label long, probe boolean")
+    pairs = lambda limit: [(r["a"], r["b"]) for r in jaccard.bounded_in_tiles(jaccard.dealt_tiles(members).repartition(3), bits.select("class", "bits"), limit).where("a is not null").collect()]
+    every = pairs(100)
+    assert len(every) == len(set(every)) == 66
+    few = jaccard.bounded_in_tiles(jaccard.dealt_tiles(members), bits.select("class", "bits"), 2).collect()
+    assert len([r for r in few if r["a"] is not None]) == 1 + 10 * 2 and {r["key"] for r in few if r["a"] is None} == {7}
+    for s in sets[:2] + [np.arange(1, 5000, dtype=np.uint64) << np.uint64(21)]:
+        packed = pa.py_buffer(jaccard.bitmap(s))
+        assert int(np.bitwise_count(jaccard.unpacked(packed, len(s))).sum()) == len(set(((s >> np.uint64(20)).astype(np.int64) & (64 * jaccard.words_of(len(s)) - 1)).tolist()))
