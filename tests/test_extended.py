@@ -1,12 +1,14 @@
 """The stored index, decision contexts, articles and the passage index where SQL can't follow."""
 
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from korpusmill.operators import articles, classify, decisions, embed, index, retrieval, search
+from korpusmill.operators import articles, classify, decisions, embed, index, learn, retrieval, search
 from korpusmill.plans import extended
 from korpusmill.sources import records
 
@@ -91,3 +93,27 @@ def test_training_set_of_rare_labels_is_empty(spark):
     labels = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (1, None)], "doc_id long, label string")
     assert classify.training_set(docs, labels, least=2).count() == 0
     assert [r["labels"] for r in classify.training_set(docs, labels, least=1).collect()] == [["a"]]
+
+
+def test_strings_of_words_are_not_shuffled(spark):
+    """The values are those of a plain loop, for repeated and null ids too, and no exchange has rows of strings."""
+    rows = [(1, "abc abcd"), (2, "abc xyz"), (1, "ABC"), (None, "abcd xyz"), (None, "xyz"), (3, None), (4, "a"), (5, "xyz šume")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tf = {}
+    for d, t in rows:
+        for w in (t or "").lower().replace("š", "s").split():
+            for n in (3, 4, 5):
+                for i in range(len(w) + 3 - n):
+                    tf.setdefault(d, Counter())[f" {w} "[i : i + n]] += 1
+    df, every = Counter(t for x in tf.values() for t in x), sum(tf.values(), Counter())
+    terms = sorted((t for t in df if df[t] >= 2), key=lambda t: (-every[t], t))[:7]
+    want = {}
+    for d, x in tf.items():
+        raw = {t: (1 + math.log(x[t])) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t in terms if t in x}
+        want |= {(d, t): round(v / math.sqrt(sum(y * y for y in raw.values())), 9) for t, v in raw.items()}
+    found = learn.char_tfidf(docs, 2, 7)
+    got = [((r["doc_id"], r["term"]), round(r["value"], 9)) for r in found.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+    assert exchanges and not any("term" in x for x in exchanges)
