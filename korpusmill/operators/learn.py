@@ -25,11 +25,11 @@ def tfidf(docs: DataFrame, least_df: int = 3) -> DataFrame:
 def char_tfidf(docs: DataFrame, least_df: int = 3, most: int = 200_000, sizes: tuple[int, int] = (3, 5)) -> DataFrame:
     """doc_id, term, value of the strings of 3 to 5 characters inside each word between two spaces, weighed as by ``weighed``, of the ``most`` most frequent terms (ties by term); a word shorter than a size has none of it.
 
-    The strings are many times the text, so they are never shuffled: words are dealt by doc_id, and each document's strings are counted where it stands, once for the
+    The strings are many times the text, so they are never shuffled: texts are dealt by doc_id, and each document's strings are counted where it stands, once for the
     vocabulary (collected, ``most`` terms) and once for the values.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", tokens(F.col("text")).alias("t")).repartition("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id").select("doc_id", tokens(F.col("text")).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, df, total = Grams(sizes), np.zeros(0, np.int64), np.zeros(0, np.int64)
