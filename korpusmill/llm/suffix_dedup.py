@@ -6,8 +6,8 @@
 3. The other anchors' strings are sharded by their texts. Each shard gets its own Burrows-Wheeler transform, with the common prefixes of neighbouring
    suffixes (``Transform``). The transforms are merged by iterative interleave refinement (``merge_transforms``): the suffixes of all shards stand in one
    sequence, each shard's in its own order, cut into intervals of equal prefixes. A step takes the symbols that precede the suffixes from the transforms' columns and
-   partitions the sequence stably by them, which moves every suffix back by one symbol; so after h steps an interval holds the suffixes with a common
-   prefix of h symbols. An interval of one shard needs no more steps, as the shard's own common prefixes tell the rest. No suffix is sorted again.
+   partitions each interval stably by them (one of a single symbol stays as it stands), which moves every suffix back by one symbol; so after h steps an interval holds the
+   suffixes with a common prefix of h symbols. An interval of one shard needs no more steps, as the shard's own common prefixes tell the rest. No suffix is sorted again.
 4. The repeated intervals at ``LENGTH`` bytes, of the merged transforms and inside the shards, give byte ranges, which are joined up and cut out.
 
 An anchor with more than ``HEAVY`` strings is not merged at once: its strings are grouped anew by anchors of another order, up to ``LEVELS`` times.
@@ -38,8 +38,8 @@ from korpusmill.llm.jaccard import whole_groups
 
 SYMBOL = 2  # bytes
 ARROW_BATCH = "8m"
-#: Windows that are merged together, about; an anchor's stay together. Shards into which their texts are dealt.
-WINDOWS, SHARDS = 400_000, 4
+#: Bytes of strings that are merged together, about; an anchor's stay together. Shards into which their texts are dealt.
+MERGED_BYTES, SHARDS = 200_000, 4
 #: Strings of an anchor that are merged at once, and how often the strings of one with more are grouped anew.
 HEAVY, LEVELS = 4000, 4
 
@@ -149,6 +149,19 @@ def strings_of(found: DataFrame) -> DataFrame:
 # ---- transforms ----
 
 
+def radix_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0 to 2**32 - 1, by 16 bits at a time."""
+    low = np.argsort(x.astype(np.uint16), kind="stable")
+    return low if not len(x) or x.max() < 1 << 16 else low[np.argsort((x[low] >> 16).astype(np.uint16), kind="stable")]
+
+
+def numbered(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Numbers from 1 of the distinct rows of the columns, of which order is the order."""
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(~same_as_before(*(c[order] for c in columns)))
+    return out
+
+
 @dataclass
 class Transform:
     """The Burrows-Wheeler transform of one shard's strings. Parallel arrays by rank, for the suffixes in order of their first 2 * DEPTH symbols (a string's end sorts
@@ -170,26 +183,26 @@ class Transform:
         mark = np.zeros(len(text), bool)
         mark[ends + np.arange(len(ends))] = True
         text[~mark] = data.astype(np.int64) + 2
-        n = len(text)
-        tables, d, now = [], 1, text
+        n, code = len(text), np.cumsum(np.bincount(text, minlength=258) > 0)
+        now = code[text]
+        key = now * (code[-1] + 1) + np.append(now[1:], 0)
+        order, tables, d = radix_order(key), [(1, now)], 2
+        now = numbered(order, key)
         while True:
             tables.append((d, now))
+            later = order - d  # these suffixes stand in order of what follows their first d symbols; for the last d nothing follows
+            later = np.concatenate([np.arange(max(n - d, 0), n), later[later >= 0]])
+            order = later[radix_order(now[later])]
             if d == cls.DEPTH:
                 break
-            if d == 1:  # four symbols of nine bits at once
-                later = np.concatenate([text, np.zeros(3, np.int64)])
-                key, d = sum(later[k : k + n] << (9 * (3 - k)) for k in range(4)), 4
-            else:
-                key, d = now * (n + 1) + np.concatenate([now[d:], np.zeros(min(d, n), np.int64)])[:n], 2 * d
-            now = np.unique(key, return_inverse=True)[1] + 1
-        order = np.argsort(now * (n + 1) + np.concatenate([now[d:], np.zeros(min(d, n), np.int64)])[:n], kind="stable")
+            now, d = numbered(order, now, np.append(now[d:], np.zeros(min(d, n), now.dtype))), 2 * d
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         common = np.zeros(n, np.int64)
-        for depth, table in [(d, t) for d, t in reversed(tables) for _ in range(3 if d == 1 else 1)]:
-            wide = np.concatenate([table, np.zeros(2 * cls.DEPTH, np.int64)])
-            a, b = order[1:] + common[1:], order[:-1] + common[1:]
-            common[1:] += np.where((wide[a] == wide[b]) & (wide[a] > 0), depth, 0)
+        for depth, table in reversed(tables):
+            wide = np.append(table, np.zeros(2 * cls.DEPTH, table.dtype))
+            a, b = wide[order[1:] + common[1:]], wide[order[:-1] + common[1:]]
+            common[1:] += depth * ((a == b) & (a > 0))
         before = order - SYMBOL
         wide = np.concatenate([text, np.zeros(SYMBOL, np.int64)])
         column = (np.maximum(wide[before], 2) - 2) << 8 | (np.maximum(wide[before + 1], 2) - 2)
@@ -211,23 +224,32 @@ def merge_transforms(shards: list[Transform], rank: np.ndarray, shard: np.ndarra
     column = np.concatenate([s.column for s in shards])
     back = np.concatenate([s.back + b for s, b in zip(shards, base)])
     out = np.zeros(len(rank), bool)
-    left = np.lexsort((rank, shard, interval))  # the shards one after the other, each in its own order
-    now, cut = rank[left] + base[shard[left]], ~same_as_before(interval[left])
+    left = radix_order(rank)
+    for by in (shard, interval):  # the shards one after the other, each in its own order
+        left = left[radix_order(by[left])]
+    now, of, cut = rank[left] + base[shard[left]], shard[left], ~same_as_before(interval[left])
+    number, at = np.cumsum(cut) - 1, np.arange(len(left))
     for step in range(length // SYMBOL + 1):
         if step:
-            symbol = column[now]
-            order = np.argsort(symbol, kind="stable")
-            symbol, number = symbol[order], number[order]
-            left, now = left[order], back[now[order]]
-            cut = ~same_as_before(symbol, number)
-        number = np.cumsum(cut) - 1
-        of = shard[left]
-        first = np.flatnonzero(cut)
-        mixed = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first) if len(first) else np.zeros(0, bool)
-        keep = mixed[number] if len(first) else mixed
-        left, now, number = left[keep], now[keep], number[keep]
+            symbol, now = column[now], back[now]
+            parted = np.flatnonzero((symbol[1:] != symbol[:-1]) & ~cut[1:])
+            if not len(parted):
+                continue
+            several = np.zeros(number[-1] + 1, bool)
+            several[number[parted]] = True
+            at = np.flatnonzero(several[number])  # an interval of one symbol stays as it is
+            key = number[at] << 16 | symbol[at]
+            order = np.argsort(key, kind="stable")
+            left[at], now[at], of[at] = left[at][order], now[at][order], of[at][order]
+            cut[at] = ~same_as_before(key[order])
+        first = np.flatnonzero(cut[at])
+        mixed = np.minimum.reduceat(of[at], first) != np.maximum.reduceat(of[at], first) if len(first) else np.zeros(0, bool)
+        keep = np.ones(len(left), bool)
+        keep[at] = np.repeat(mixed, np.diff(np.append(first, len(at))))
+        left, now, of, cut = left[keep], now[keep], of[keep], cut[keep]
         if not len(left):
             break
+        number = np.cumsum(cut) - 1
     out[left] = True
     return out
 
@@ -255,19 +277,25 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
     return hit
 
 
+def merged_together(anchor: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of the stretches of strings, sorted by anchor, that are merged at once: MERGED_BYTES at most, or one anchor."""
+    edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+    upto = np.r_[0, np.cumsum(size)][edges]
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + MERGED_BYTES, "right")) - 1)
+        yield int(edges[at]), int(edges[to])
+        at = to
+
+
 def merge(strings: DataFrame) -> DataFrame:
     """row, start, length of the byte ranges that repeated windows cover, of strings (anchor, row, start, windows, place, weight, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, ["anchor"]):
-            key = whole.column("anchor").to_numpy()
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            sizes = np.r_[0, np.cumsum(whole.column("windows").to_numpy().astype(np.int64))][edges]
-            at = 0
-            while at < len(edges) - 1:
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + WINDOWS, "right")) - 1)
-                yield part(whole.slice(edges[at], edges[to] - edges[at]))
-                at = to
+            size = whole.column("windows").to_numpy().astype(np.int64) + LENGTH  # with the string's end
+            for begin, end in merged_together(whole.column("anchor").to_numpy(), size):
+                yield part(whole.slice(begin, end - begin))
 
     def part(t: pa.Table) -> pa.RecordBatch:
         c = {k: t.column(k).to_numpy().astype(np.int64) for k in ("anchor", "start", "windows", "place", "weight", "shard")}

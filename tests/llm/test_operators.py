@@ -104,6 +104,29 @@ def test_a_transform_is_sorted_and_knows_common_prefixes():
     assert all(t.column[r] == (text[p - 2] - 2) << 8 | text[p - 1] - 2 for r, p in enumerate(t.order.tolist()) if p > 1 and text[p - 2] > 1 and text[p - 1] > 1)
 
 
+def test_short_strings_are_merged_in_parts_of_bounded_size():
+    anchor, size = np.repeat(np.arange(5000), 2), np.full(10_000, suffix_dedup.LENGTH + 1)  # a window each, so few windows and many bytes
+    anchor[200:3200] = anchor[200]  # an anchor with more than a part holds stays whole
+    found = list(suffix_dedup.merged_together(anchor, size))
+    assert [a for a, _ in found] == [0, *(b for _, b in found[:-1])] and found[-1][1] == 10_000 and (200, 3200) in found
+    assert all(size[a:b].sum() <= suffix_dedup.MERGED_BYTES or len(set(anchor[a:b])) == 1 for a, b in found) and len(found) < 20
+    assert all(a == 0 or anchor[a] != anchor[a - 1] for a, _ in found)
+
+
+def test_transforms_of_more_than_65536_symbols_are_sorted_and_merged():
+    data = np.random.default_rng(4).integers(97, 99, 100_000).astype(np.uint8)
+    data[60_000:60_500] = data[1000:1500]
+    t = suffix_dedup.Transform.of(data, np.array([len(data)]))
+    text = bytes(data) + b"\0"
+    suffix = [text[i : i + 256] for i in t.order]
+    assert suffix == sorted(suffix) and t.common.max() == 255
+    windows, offsets = np.array([50_000 - 199] * 2), np.array([0, 50_000, 100_000])
+    got = suffix_dedup.repeated_windows(data, offsets, windows, np.array([0, 1]), np.zeros(windows.sum(), int))
+    every = [text[x + i : x + i + 200] for x, n in zip(offsets, windows) for i in range(n)]
+    times = Counter(every)
+    assert got.tolist() == [times[x] > 1 for x in every] and got.sum() >= 2 * 301
+
+
 def test_long_texts_have_the_runs_of_their_parts(monkeypatch):
     data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
     cover = lambda: sorted(i for r in anchors.find_runs(data, np.array([0, 5000]), anchors.Tables()) for s, n in zip(r.start, r.windows) for i in range(s, s + n))
