@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,6 +53,12 @@ def drop(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffled data of tables that are written and no longer referred to; else it stays until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _files(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from korpusmill.llm.arrow import give_back, slices, utf8
-from korpusmill.llm.common import batches_of, drop, free_name, listed, quoted, stored, with_row
+from korpusmill.llm.common import batches_of, drop, free_name, listed, quoted, release, stored, with_row
 from korpusmill.llm.components import connected
 from korpusmill.llm.hashing import Powers
 from korpusmill.llm.shingles import shingle_sets
@@ -108,7 +108,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def describe(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n, class, bits) of each row of keyed (row, doc_id, text), stored; and (key, times) of the shingles that documents of one batch share."""
+    """(row, doc_id, n, class) of each row of keyed (row, doc_id, text), stored; and (key, times) of the shingles that documents of one batch share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Powers()
@@ -119,17 +119,30 @@ def describe(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
                 same = every[1:] == every[:-1]
                 key, times = np.unique(every[1:][same], return_counts=True)
                 none = lambda kind: pa.nulls(len(key), kind)  # noqa: B023,E731
-                mine = [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) if len(s) else None for s in found], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in found], pa.binary())]
+                mine = [b.column("row"), b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) if len(s) else None for s in found], pa.int64())]
                 shared = [pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(x)]) for x in (key.view(np.int64), times + 1)]
-                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, none(x.type)]) for x in mine), *shared], names=["row", "doc_id", "n", "class", "bits", "key", "times"])
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([x, none(x.type)]) for x in mine), *shared], names=["row", "doc_id", "n", "class", "key", "times"])
 
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
-    both = stored(keyed.select("row", "doc_id", "text").mapInArrow(run, f"row {kinds['row']}, doc_id {kinds['doc_id']}, n bigint, class bigint, bits binary, key bigint, times bigint"))
+    both = stored(keyed.select("row", "doc_id", "text").mapInArrow(run, f"row {kinds['row']}, doc_id {kinds['doc_id']}, n bigint, class bigint, key bigint, times bigint"))
     described = both.where("row is not null").drop("key", "times")
     described._stored_at = both._stored_at
     return described, both.where("row is null").select("key", "times")
 
 
+def bitmaps(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """class, n, bits of the listed rows of keyed, stored. Only these are made: most classes are in no tile, and the bitmaps of all would lie beside the shuffled prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Powers()
+        for whole in batches:
+            for b in slices(whole, "text", BATCH_BYTES):
+                found = sets_of(b, tables)
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary())], names=["class", "n", "bits"])
+
+    return stored(keyed.join(listed(rows), "row", "left_semi").select("text").mapInArrow(run, "class bigint, n bigint, bits binary"))
+
+
 def hot_shingles(shared: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """The most widely shared shingles, sorted, and which of them WIDELY documents share: of whole count buckets of 10 % width, so nothing has to be sorted on the way."""
     total = stored(shared.groupBy("key").agg(F.sum("times").alias("times")).where("times >= 8"))
@@ -153,7 +166,7 @@ def is_in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def prefixes(keyed: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, salt, class, n: for each class the shingles of which a linked class shares one. A task gives a class once. Widely shared ones have a salt above 0."""
+    """key, class, n, salt: for each class the shingles of which a linked class shares one. A task gives a class once. Widely shared ones have a salt above 0."""
     spark = keyed.sparkSession
     shared = spark.sparkContext.broadcast(hot)
 
@@ -185,10 +198,10 @@ def prefixes(keyed: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                         salts.append(np.zeros(p, np.int64))
                     keys.append(s)
                 n = [len(k) for k in keys]
-                columns = (np.concatenate(keys).view(np.int64), np.concatenate(salts).astype(np.int32), np.repeat(np.array([c for _, c in found], np.int64), n), np.repeat(np.diff(edges).astype(np.int32), n))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "salt", "class", "n"])
+                columns = (np.concatenate(keys).view(np.int64), np.repeat(np.array([c for _, c in found], np.int64), n), np.repeat(np.diff(edges).astype(np.int32), n), np.concatenate(salts).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "class", "n", "salt"])
 
-    return keyed.select("text").mapInArrow(run, "key bigint, salt int, class bigint, n int")
+    return keyed.select("text").mapInArrow(run, "key bigint, class bigint, n int, salt int")  # the many zeros side by side, at the end: an eighth less is shuffled
 
 
 # ---- tiles ----
@@ -462,9 +475,10 @@ def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = stored(tiles.where("b is null").select("key", F.col("a").alias("class"), F.col("na").alias("n")))
     pairs = stored(often_enough(tiles.where("b is not null"), members))
     drop(tiles)
+    release(docs.sparkSession)
     ends = pairs.unionByName(members.select(F.col("class").alias("a"), F.col("class").alias("b")))
     rows = stored(rows_of(ends, classes))
-    bits = stored(described.join(listed(rows), "row", "left_semi").select("class", "n", "bits"))
+    bits = bitmaps(keyed, rows)
     drop(rows)
     small = stored(bounded(pairs, bits))
     drop(pairs)
@@ -491,16 +505,17 @@ def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if turn:
             open_tiles, limit = stored(found.where("a is null").select("key", F.col("band").cast("int").alias("band")).distinct()), limit * MORE
         drop(found)
+        release(docs.sparkSession)
         if turn and open_tiles.isEmpty():
             break
     drop(open_tiles, bits, members)
     if labels is None:
-        return described.drop("bits"), classes.select("class", "best")
+        return described, classes.select("class", "best")
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "best", F.coalesce("label", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("best").alias("best"))
     out = stored(named.drop("best").join(least, "component").select("class", "best"))
     drop(labels, classes)
-    return described.drop("bits"), out
+    return described, out
 
 
 def component_report(docs: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from korpusmill.llm import anchors, chat, gru_lm, jaccard, langid, matroska, mixing, packing, quality, suffix_dedup, url_filter
+from korpusmill.llm import anchors, chat, common, gru_lm, jaccard, langid, matroska, mixing, packing, quality, suffix_dedup, url_filter
 from korpusmill.llm.common import values
 
 SF = "/root/testdata/sf0.001"
@@ -535,3 +537,33 @@ def test_a_pair_of_many_tiles_comes_once(spark):
     for s in sets[:2] + [np.arange(1, 5000, dtype=np.uint64) << np.uint64(21)]:
         packed = pa.py_buffer(jaccard.bitmap(s))
         assert int(np.bitwise_count(jaccard.unpacked(packed, len(s))).sum()) == len(set(((s >> np.uint64(20)).astype(np.int64) & (64 * jaccard.words_of(len(s)) - 1)).tolist()))
+
+
+def test_bitmaps_are_made_for_the_listed_rows_only(spark, tmp_path):
+    texts = [" ".join(f"w{(k * 7 + i) % 40}" for i in range(30 + k)) for k in range(6)]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    keyed = jaccard.with_row(spark.read.parquet(str(tmp_path / "d")), "row")
+    described, _ = jaccard.describe(keyed)
+    assert described.columns == ["row", "doc_id", "n", "class"]
+    assert jaccard.prefixes(keyed, (np.zeros(0, np.uint64), np.zeros(0, bool))).columns == ["key", "class", "n", "salt"]  # zeros last, which compress best
+    some = described.where("doc_id % 2 = 0")
+    got = {r["class"]: (r["n"], r["bits"]) for r in jaccard.bitmaps(keyed, some.select("row")).collect()}
+    assert {c: n for c, (n, _) in got.items()} == {r["class"]: r["n"] for r in some.collect()} and len(got) == 3
+    sets = [s for s in jaccard.shingle_sets(*jaccard.utf8(pa.array(texts)), jaccard.Powers())]
+    assert all(bytes(got[jaccard.class_of(s)][1]) == jaccard.bitmap(s) for s in sets[::2])
+
+
+def test_shuffled_data_of_written_tables_is_released(spark):
+    if spark.sparkContext.master.startswith("local-cluster"):
+        pytest.skip("counts this process's blocks")
+    place = lambda: sum(1 for _ in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data"))
+    common.release(spark)
+    time.sleep(2)
+    before = place()
+    common.stored(spark.range(10_000).withColumn("k", F.col("id") % 97).repartition(5, "k"))
+    assert place() > before
+    common.release(spark)
+    ends = time.time() + 20
+    while place() > before and time.time() < ends:
+        time.sleep(0.5)
+    assert place() <= before
