@@ -556,14 +556,13 @@ def test_bitmaps_are_made_for_the_listed_rows_only(spark, tmp_path):
 def test_shuffled_data_of_written_tables_is_released(spark):
     if spark.sparkContext.master.startswith("local-cluster"):
         pytest.skip("counts this process's blocks")
-    place = lambda: sum(1 for _ in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data"))
-    common.release(spark)
-    time.sleep(2)
-    before = place()
+    here = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: {p.name for p in here.rglob("shuffle_*.data")}
+    before = files()
     common.stored(spark.range(10_000).withColumn("k", F.col("id") % 97).repartition(5, "k"))
-    assert place() > before
-    common.release(spark)
-    ends = time.time() + 20
-    while place() > before and time.time() < ends:
+    made, ends = files() - before, time.time() + 30
+    assert made
+    while made & files() and time.time() < ends:
+        common.release(spark)
         time.sleep(0.5)
-    assert place() <= before
+    assert not made & files()
