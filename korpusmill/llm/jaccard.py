@@ -6,8 +6,8 @@
    a shingle; only sizes within 0.75 of one another meet.
 3. A tile of up to ``SMALL`` classes gives all its pairs, and how many tiles each pair shares: what two sets have in common beyond their prefixes is
    at most the rest of the larger, so a pair that shares too few tiles is out before anything else of it is read.
-4. Larger tiles are cut into size bands (a factor of 4/3 each; two sets that link are in one band or in neighbours) and carry hashed bitmaps. The pairs
-   of a tile (key, band) are bounded from above inside its task: a bit set on one side only is a shingle that the other lacks. Blocks of a tile meet
+4. Larger tiles are cut into size bands (a factor of 4/3 each; two sets that link are in one band or in neighbours) and carry hashed bitmaps of parities. The pairs
+   of a tile (key, band) are bounded from above inside its task: a bit that differs is a shingle, at least, that one of the two lacks. Blocks of a tile meet
    two by two, in tasks of their own. Of the tiles that two classes share, only the first one asked gives their pair, so that a group that shares many
    shingles gives its pairs once and not once for each. Of each class ``LIMIT`` pairs with classes before it come first, from the first of its tiles, then from all tiles that
    still hold several components; those that held more pairs give ``MORE`` times as many each time, until none is left over.
@@ -62,16 +62,16 @@ def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def words_of(n: int) -> int:
-    """64-bit words of the bitmap of n shingles."""
-    return 1 << max(0, int(n - 1).bit_length() + 2 - 6)
+    """64-bit words of the bitmap of n shingles, four at least."""
+    return 1 << max(2, int(n - 1).bit_length() + 1 - 6)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """4 to 8 bits for each shingle, at a power of two of 64-bit words; folding halves gives the bitmap of half the size. Compressed where that is shorter."""
+    """2 to 4 bits for each shingle, at a power of two of 64-bit words: whether the shingles hashed there are an odd number. Those that two sets share cancel out between their
+    bitmaps, so that few bits tell more than marks of what is there would. Folding halves gives the bitmap of half the size. Compressed where that is shorter."""
     words = words_of(len(shingles))
-    bits = np.zeros(words * 64, np.uint8)
-    bits[(shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)] = 1
-    plain = np.packbits(bits, bitorder="little").tobytes()
+    at = (shingles >> np.uint64(20)).astype(np.int64) & (words * 64 - 1)
+    plain = np.packbits((np.bincount(at, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").tobytes()
     return min(plain, pa.compress(plain, codec="zstd", asbytes=True), key=len)
 
 
@@ -85,15 +85,14 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps (rows, more words) as bitmaps of fewer words."""
     while bits.shape[1] > words:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = bits[:, :half] ^ bits[:, half:]
     return bits
 
 
 def within_bound(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether bitmaps a and b (rows of equally many words) leave room for enough common shingles."""
-    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
-    return np.minimum(na - only_a, nb - only_b) >= needed(na, nb)
+    unlike = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return na + nb - unlike >= 2 * needed(na, nb)
 
 
 # ---- sets ----
@@ -472,6 +471,7 @@ def _near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stored(described.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min(order).alias("best")))
     tiles = stored(tile_pairs(prefixes(keyed, hot_shingles(shared))))
+    release(docs.sparkSession)  # the prefixes, the most that is ever shuffled, before the pairs are
     members = stored(tiles.where("b is null").select("key", F.col("a").alias("class"), F.col("na").alias("n")))
     pairs = stored(often_enough(tiles.where("b is not null"), members))
     drop(tiles)

@@ -553,6 +553,24 @@ def test_bitmaps_are_made_for_the_listed_rows_only(spark, tmp_path):
     assert all(bytes(got[jaccard.class_of(s)][1]) == jaccard.bitmap(s) for s in sets[::2])
 
 
+def test_short_bitmaps_bound_every_link_and_few_others():
+    """Half a byte for each shingle, no link is out at any fold, and of pairs at 0.69 few are left."""
+    r, kept = np.random.default_rng(7), 0
+    for n in (1, 2, 7, 41, 300, 1000, 1000, 5000):
+        for _ in range(25):
+            pool = r.integers(0, 1 << 63, 3 * n, np.uint64, endpoint=True)
+            common = jaccard.needed(n, n)  # the least at which sets of n link
+            a, b = np.unique(pool[:n]), np.unique(np.r_[pool[:common], pool[n : 2 * n - common]])
+            x, y = (jaccard.unpacked(pa.py_buffer(jaccard.bitmap(s)), n) for s in (a, b))
+            assert 8 * x.shape[1] <= max(32, n // 2)
+            for words in {x.shape[1], max(1, x.shape[1] // 2), 1}:
+                assert jaccard.within_bound(n, n, jaccard.fold(x, words), jaccard.fold(y, words)).all()
+            if n == 1000:
+                b = np.unique(np.r_[pool[:817], pool[n : 2 * n - 817]])  # 817 of 1183
+                kept += int(jaccard.within_bound(n, n, x, jaccard.unpacked(pa.py_buffer(jaccard.bitmap(b)), n)).sum())
+    assert kept <= 5
+
+
 def test_shuffled_data_of_written_tables_is_released(spark):
     if spark.sparkContext.master.startswith("local-cluster"):
         pytest.skip("counts this process's blocks")
